@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.shared import mix
 
-#: Pre-tokens that one Python worker remembers; beyond that it starts anew, so its memory stays bounded.
-MEMO = 400_000
+#: Pre-tokens that one Python worker remembers, in a younger and an older half; a full younger half replaces the older one, so memory stays bounded.
+MEMO = 1_000_000
 
 
 class PerfectHash:
     """A minimal perfect hash over distinct byte strings: buckets by one hash, and per bucket the first displacement that puts all its keys into free slots. A bucket with one key names its slot itself."""
 
-    def __init__(self, keys: list[bytes], values: list[int], load: int = 4):
+    def __init__(self, keys: list[bytes], values: list[int], load: int = 2):
         self.n = max(1, len(keys))
         self.buckets = max(1, self.n // load)
         h = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], dtype=np.uint64)
@@ -41,13 +41,13 @@ class PerfectHash:
             own = order[first[b] : first[b + 1]]
             if len(own) <= 1:
                 break
-            d = 0
-            while True:
-                at = self.slots(h[own], np.full(len(own), d, np.int64))
-                if not taken[at].any() and len(set(at.tolist())) == len(at):
-                    break
-                d += 1
-            self.shift[b] = d
+            d, good = 0, []
+            while not len(good):
+                tried = self.slots(h[own][None, :], np.arange(d, d + 32)[:, None])
+                good = np.flatnonzero(~taken[tried].any(axis=1) & (np.diff(np.sort(tried, axis=1), axis=1) > 0).all(axis=1))
+                d += 32
+            at = tried[good[0]]
+            self.shift[b] = d - 32 + good[0]
             taken[at] = True
             for i, s in zip(own, at, strict=True):
                 self.keys[s], self.values[s] = keys[i], values[i]
@@ -112,15 +112,23 @@ class Coder:
         for k, v in ranks.items():
             self.pieces[v] = k
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def learn(self, tokens: set[str]) -> None:
         """First tier for all new pre-tokens at once, second tier for those it misses."""
-        if len(self.memo) + len(tokens) > MEMO:
-            self.memo.clear()
-        new = [t for t in tokens if t not in self.memo]
+        memo, older = self.memo, self.older
+        if len(memo) + len(tokens) > MEMO // 2:
+            self.memo, self.older = memo, older = {}, memo
+        new = []
+        for t in tokens:
+            if t not in memo:
+                if t in older:
+                    memo[t] = older[t]
+                else:
+                    new.append(t)
         raw = [t.encode("utf-8", "surrogatepass") for t in new]
         for t, b, v in zip(new, raw, self.whole.find(raw), strict=True):
-            self.memo[t] = v.to_bytes(4, "little") if v >= 0 else np.array(merge(b, self.ranks), "<u4").tobytes()
+            memo[t] = v.to_bytes(4, "little") if v >= 0 else np.array(merge(b, self.ranks), "<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
