@@ -17,5 +17,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
 
 
-QUERIES = {"op10_byte_bpe": op10_byte_bpe}
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm import source_mix
+
+    return source_mix.mix(table(spark, sf_dir, "documents"), weights=[3, 1, 2], share=1.5, most=2)
+
+
+QUERIES = {"op5_source_mix": op5_source_mix, "op10_byte_bpe": op10_byte_bpe}
 ORACLE: dict[str, str] = {}
