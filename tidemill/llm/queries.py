@@ -23,5 +23,35 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents"), weights=[3, 1, 2], share=1.5, most=2)
 
 
-QUERIES = {"op5_source_mix": op5_source_mix, "op10_byte_bpe": op10_byte_bpe}
-ORACLE: dict[str, str] = {}
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm import ngram_join
+
+    return ngram_join.link(table(spark, sf_dir, "documents"), k=5, threshold=80)
+
+
+QUERIES = {"op9_ngram_join": op9_ngram_join, "op5_source_mix": op5_source_mix, "op10_byte_bpe": op10_byte_bpe}
+#: The words of each document, in order (DuckDB has no lower() for A-Z alone, hence translate).
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_FOLDED = _WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+
+ORACLE: dict[str, str] = {
+    "op9_ngram_join": f"""
+with recursive docs as (select doc_id, {_FOLDED} as w from documents),
+shingles as (
+  select distinct doc_id, array_to_string(w[i : i + 4], ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from docs where len(w) > 0)
+),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+links as (
+  select a.doc_id as a, b.doc_id as b
+  from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id
+  join sizes sa on sa.doc_id = a.doc_id join sizes sb on sb.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, sa.n, sb.n
+  having 100 * count(*) >= 80 * (sa.n + sb.n - count(*))
+),
+reach as (select doc_id as a, doc_id as b from docs union select r.a, l.b from reach r join links l on l.a = r.b)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, min(r.b) as component_id
+from docs d left join sizes s on s.doc_id = d.doc_id join reach r on r.a = d.doc_id
+group by d.doc_id, s.n
+""",
+}

@@ -118,3 +118,65 @@ def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
 def as_bytes(texts) -> list[bytes]:
     """UTF-8 of a pandas column of texts; null is empty."""
     return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
+
+
+def union_find():
+    """find and union over any hashable items; the smaller item leads."""
+    up: dict = {}
+
+    def find(x):
+        root = x
+        while (y := up.get(root, root)) != root:
+            root = y
+        while up.get(x, x) != root:
+            up[x], x = root, up[x]
+        return root
+
+    def union(x, y) -> bool:
+        x, y = find(x), find(y)
+        if x == y:
+            return False
+        up[max(x, y)] = min(x, y)
+        return True
+
+    return up, find, union
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of edges (a long, b long): node, comp (the smallest node reachable), for every node of an edge.
+
+    Each task first joins up its own edges; then rounds of hooking labels to smaller neighbours and jumping pointers, each
+    written to the shared folder. A component of any size is spread over all tasks: labels are minima, combined before
+    the shuffle, and joins against the few moved labels may be split by Spark where one label is frequent.
+    """
+    from pyspark.sql import functions as F
+
+    def joined(batches):
+        import pandas as pd
+
+        up, find, union = union_find()
+        for batch in batches:
+            for a, b in zip(batch["a"].tolist(), batch["b"].tolist(), strict=True):
+                union(a, b)
+                up.setdefault(a, a)
+                up.setdefault(b, b)
+            if len(up) > 2_000_000:  # what is known so far goes out, and memory stays bounded
+                yield pd.DataFrame({"a": list(up), "b": [find(x) for x in list(up)]})
+                up.clear()
+        if up:
+            yield pd.DataFrame({"a": list(up), "b": [find(x) for x in list(up)]})
+
+    stars = kept(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInPandas(joined, "a long, b long").distinct(), "cc-stars")
+    nodes = stars.select(F.col("a").alias("node"), "b").unionAll(stars.select(F.col("b").alias("node"), "b"))
+    label = kept(nodes.groupBy("node").agg(F.min("b").alias("comp")), "cc-labels")
+    apart = stars.filter("a <> b")
+    while True:
+        la, lb = label.select(F.col("node").alias("a"), F.col("comp").alias("ca")), label.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+        split = apart.join(la, "a").join(lb, "b").filter("ca <> cb").select(F.greatest("ca", "cb").alias("high"), F.least("ca", "cb").alias("low"))
+        moved = kept(split.groupBy("high").agg(F.min("low").alias("low")), "cc-moved")
+        if moved.isEmpty():
+            return label
+        for _ in range(2):  # labels that move along with the label they moved to
+            further = moved.select(F.col("high").alias("low"), F.col("low").alias("next"))
+            moved = kept(moved.join(further, "low", "left").select("high", F.coalesce("next", "low").alias("low")), "cc-moved")
+        label = kept(label.join(moved, label["comp"] == moved["high"], "left").select("node", F.coalesce("low", "comp").alias("comp")), "cc-labels")
