@@ -29,7 +29,13 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(table(spark, sf_dir, "documents"), k=5, threshold=80)
 
 
-QUERIES = {"op9_ngram_join": op9_ngram_join, "op5_source_mix": op5_source_mix, "op10_byte_bpe": op10_byte_bpe}
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm import substring_dedup
+
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"), window=20, digests=True)
+
+
+QUERIES = {"op7_substring_dedup": op7_substring_dedup, "op9_ngram_join": op9_ngram_join, "op5_source_mix": op5_source_mix, "op10_byte_bpe": op10_byte_bpe}
 #: The words of each document, in order (DuckDB has no lower() for A-Z alone, hence translate).
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _FOLDED = _WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
@@ -53,5 +59,16 @@ reach as (select doc_id as a, doc_id as b from docs union select r.a, l.b from r
 select d.doc_id, coalesce(s.n, 0) as n_shingles, min(r.b) as component_id
 from docs d left join sizes s on s.doc_id = d.doc_id join reach r on r.a = d.doc_id
 group by d.doc_id, s.n
+""",
+    "op7_substring_dedup": f"""
+with docs as (select doc_id, {_WORDS.format("coalesce(text, '')")} as w from documents),
+windows as (select doc_id, i, array_to_string(w[i : i + 19], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from docs where len(w) >= 20)),
+ranked as (select doc_id, i, row_number() over (partition by s order by doc_id, i) as r from windows),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) as j from ranked where r > 1),
+lost as (select doc_id, list(j) as js, count(*) as n from gone group by doc_id),
+words as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as j from docs where len(w) > 0),
+left_ as (select words.doc_id, string_agg(x, ' ' order by words.j) as t from words anti join gone on gone.doc_id = words.doc_id and gone.j = words.j group by words.doc_id)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(l.n, 0)::bigint as n_removed, sha256(coalesce(k.t, '')) as kept_sha256
+from docs d left join lost l on l.doc_id = d.doc_id left join left_ k on k.doc_id = d.doc_id
 """,
 }
