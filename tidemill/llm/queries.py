@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,23 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
 
 
+def fold(n: int) -> Column:
+    """crc32 of the doc_id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm import language_id
+
+    return language_id.identify(table(spark, sf_dir, "documents"), learn=fold(3) != 1)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm import quality
+
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=fold(5) != 0, threshold=0.3)
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemill.llm import source_mix
 
@@ -35,7 +53,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents"), window=20, digests=True)
 
 
-QUERIES = {"op7_substring_dedup": op7_substring_dedup, "op9_ngram_join": op9_ngram_join, "op5_source_mix": op5_source_mix, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op2_language_id": op2_language_id, "op4_quality": op4_quality, "op7_substring_dedup": op7_substring_dedup, "op9_ngram_join": op9_ngram_join, "op5_source_mix": op5_source_mix, "op10_byte_bpe": op10_byte_bpe}
 #: The words of each document, in order (DuckDB has no lower() for A-Z alone, hence translate).
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _FOLDED = _WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
