@@ -3,11 +3,12 @@
 Documents with equal sets are one class. Classes that can link share one of their first |s| - ceil(0.8 |s|) + 1 shingles in
 one global order (rarest first; ties by hash), so neighbours by size within each such shingle chain up candidate clusters
 without listing pairs. Each cluster's sets go to one trie (large clusters: to shards of bounded size, each with the
-cluster's pivot, then what didn't join the pivot is held against all shards in blocks). A document is looked up in the trie:
+cluster's pivot; where many don't join the pivot the cluster is split anew by its own exact counts, and the few that
+remain are held against all shards in blocks). A document is looked up in the trie:
 subtrees share the overlap so far, and fall away when the shingles left can't reach the needed overlap, or
 when all below is linked to the document already.
 
-A null text, or one without words, has an empty set and no links. Fewer than k words are one shingle. Repeated rows and equal
+A null text, or one without words, has an empty set and no links. Fewer than k words are one shingle. Rows that repeat an id must repeat its text. Repeated rows and equal
 texts are one class. Texts of any length are taken whole; other columns don't matter. Empty tables give empty results.
 """
 
@@ -22,9 +23,11 @@ from tidemill.llm.shared import as_bytes, components, kept, mix, partitions, run
 #: Frequent shingles whose counts are broadcast for the order; a hint only, results don't depend on it. 9 bytes each.
 FREQUENT = 400_000
 #: Sets and shingles of one trie.
-TRIE_SETS, TRIE_SHINGLES = 1_000, 1_000_000
+TRIE_SETS, TRIE_SHINGLES = 500, 1_000_000
 #: A shingle counted over 2 ** HOT times is chained in salted parts, then across them.
 HOT = 13
+#: Times that clusters of many unlike sets are clustered anew, by exact counts, before all is held against all in blocks.
+ROUNDS = 3
 _SALT = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -35,7 +38,8 @@ def shingles(texts: list[bytes], k: int) -> list[np.ndarray]:
     out = []
     for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if hi - lo >= k:
-            out.append(np.unique(runs[lo : hi - k + 1]))
+            own = np.sort(runs[lo : hi - k + 1])
+            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
         elif hi > lo:
             out.append(run_hashes(words[lo:hi], hi - lo))
         else:
@@ -161,21 +165,30 @@ def grouped(batches, keys: list[str]):
         yield rest
 
 
-def candidate_clusters(docs: DataFrame, text_col: str, k: int, t: int) -> DataFrame:
-    """node (a class's first fingerprint), comp: classes that may link are in one cluster. Classes alone are left out."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col(text_col).alias("_text"))
+def surveyed(docs: DataFrame, k: int, exact: bool = False) -> DataFrame:
+    """One reading of the texts: a row for each document (_id, n, fp, fp2), and rows of shingles (h, c: documents with it in a batch; only those with two or more, unless exact)."""
 
-    def frequent(batches):
+    def run(batches):
         import pandas as pd
 
         for batch in batches:
             sets = list(all_shingles(batch["_text"], k))
-            _, one = np.unique(prints(sets)[0], return_index=True)
+            a, b = prints(sets)
+            _, one = np.unique(a, return_index=True)  # of equal sets one counts
             values, counts = np.unique(np.concatenate([sets[i] for i in one]), return_counts=True)
-            yield pd.DataFrame({"h": values[counts > 1].view(np.int64), "c": counts[counts > 1]})
+            if not exact:
+                values, counts = values[counts > 1], counts[counts > 1]
+                yield pd.DataFrame({"_id": batch["_id"].astype("Int64").reset_index(drop=True), "n": [len(s) for s in sets], "fp": a, "fp2": b, "h": None, "c": None})
+            yield pd.DataFrame({"_id": None, "n": None, "fp": None, "fp2": None, "h": values.view(np.int64), "c": counts})
+
+    return docs.mapInPandas(run, "_id long, n long, fp long, fp2 long, h long, c long")
 
-    counts = kept(texts.mapInPandas(frequent, "h long, c long").groupBy("h").agg(F.floor(F.log2(F.sum("c"))).cast("int").alias("level")), "ngram-counts")
+
+def candidate_clusters(docs: DataFrame, counted: DataFrame, k: int, t: int) -> DataFrame:
+    """node (a class's first fingerprint), comp: classes that may link are in one cluster. Classes alone are left out. counted: h, c as surveyed."""
+    spark = docs.sparkSession
+    texts = docs.select("_text")
+    counts = kept(counted.groupBy("h").agg(F.sum("c").alias("c")).filter("c > 1").select("h", F.floor(F.log2("c")).cast("int").alias("level")), "ngram-counts")
     total, least = 0, 99
     for level, n in sorted(((r["level"], r["count"]) for r in counts.groupBy("level").count().collect()), reverse=True):
         total += n
@@ -196,8 +209,8 @@ def candidate_clusters(docs: DataFrame, text_col: str, k: int, t: int) -> DataFr
         seen: set[int] = set()
         for batch in batches:
             tokens, owner, sizes, heat = [], [], [], []
-            for s in all_shingles(batch["_text"], k):
-                fp = int(prints([s])[0][0])
+            sets = list(all_shingles(batch["_text"], k))
+            for s, fp in zip(sets, prints(sets)[0].tolist(), strict=True):
                 if not len(s) or fp in seen:
                     continue
                 seen.add(fp)
@@ -235,17 +248,37 @@ def link(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
 
-    def signed(batches):
-        import pandas as pd
+    survey = kept(surveyed(docs, k), "ngram-survey")
+    own = survey.filter("n is not null").select("_id", "n", "fp", "fp2")
+    classes = kept(own.filter("n > 0").groupBy("n", "fp", "fp2").agg(F.min("_id").alias("rep")), "ngram-classes")
+    clusters = candidate_clusters(docs, survey.filter("h is not null").select("h", "c"), k, threshold)
+    links = None
+    for again in range(1, ROUNDS + 1):
+        local = _joined_in_clusters(clusters, classes, docs, k, threshold)
+        found = local.select(F.col("rep").alias("a"), F.col("root").alias("b"))
+        links = found if links is None else links.unionAll(found)
+        strays = local.filter("stray").groupBy("comp").agg(F.count("*").alias("strays"), F.ceil(F.count("*") / TRIE_SETS).cast("int").alias("blocks"))
+        strays = kept(strays, "ngram-strays")
+        if strays.isEmpty():
+            break
+        last = again == ROUNDS
+        links = links.unionAll(_held_against_all(local, strays.filter(F.lit(last) | (F.col("blocks") == 1)), docs, k, threshold))
+        many = strays.filter("blocks > 1")
+        if last or many.isEmpty():
+            break
+        # clusters that hold many unlike sets: their own exact counts order their shingles better
+        unlike = local.join(many.select("comp"), "comp").select("rep").distinct()
+        part = kept(docs.join(unlike, docs["_id"] == unlike["rep"]).select("_id", "_text"), "ngram-unlike")
+        clusters = candidate_clusters(part, surveyed(part, k, exact=True).select("h", "c"), k, threshold)
+    comps = components(links)
+    rep = classes.join(comps, classes["rep"] == comps["node"], "left").select("n", "fp", "fp2", F.coalesce("comp", "rep").alias("comp"))
+    rep = kept(rep.select(F.col("n").alias("_n"), F.col("fp").alias("_fp"), F.col("fp2").alias("_fp2"), "comp"), "ngram-components")
+    out = own.join(rep, (F.col("n") == F.col("_n")) & (F.col("fp") == F.col("_fp")) & (F.col("fp2") == F.col("_fp2")), "left")
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "_id").alias("component_id"))
 
-        for batch in batches:
-            sets = list(all_shingles(batch["_text"], k))
-            a, b = prints(sets)
-            yield pd.DataFrame({"_id": batch["_id"].reset_index(drop=True), "n": [len(s) for s in sets], "fp": a, "fp2": b})
 
-    own = kept(docs.mapInPandas(signed, "_id long, n long, fp long, fp2 long"), "ngram-prints")
-    classes = kept(own.filter("n > 0").groupBy("n", "fp", "fp2").agg(F.min("_id").alias("rep")), "ngram-classes")
-    clusters = candidate_clusters(docs, "_text", k, threshold)
+def _joined_in_clusters(clusters: DataFrame, classes: DataFrame, docs: DataFrame, k: int, t: int) -> DataFrame:
+    """comp, shard, shards, rep, root (the least id of those it is joined with in its shard), stray (its shard's pivot isn't among them, and there are other shards)."""
     member = classes.join(clusters, classes["fp"] == clusters["node"]).select("rep", "comp", F.col("n").alias("size"))
     size = member.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / TRIE_SETS), F.ceil(F.sum("size") / TRIE_SHINGLES)).cast("int").alias("shards"), F.min("rep").alias("pivot"), F.count("*").alias("members"))
     size = kept(size.filter("members > 1").drop("members"), "ngram-clusters")
@@ -258,31 +291,20 @@ def link(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id
 
         for g in grouped(batches, ["comp", "shard"]):
             g = g.drop_duplicates("rep")
-            find, _ = joined(g["rep"].tolist(), list(all_shingles(g["_text"], k)), threshold)
+            find, _ = joined(g["rep"].tolist(), list(all_shingles(g["_text"], k)), t)
             root = [find(x) for x in g["rep"].tolist()]
             out = pd.DataFrame({"comp": g["comp"], "shard": g["shard"], "shards": g["shards"], "rep": g["rep"], "root": root})
             out["stray"] = (g["shards"] > 1) & (out["root"] != find(g["pivot"].iloc[0]))
             yield out
 
-    n = partitions(spark)
-    spread = routed.repartition(n, "comp", "shard").sortWithinPartitions("comp", "shard", "rep")
-    local = kept(spread.mapInPandas(trees, "comp long, shard int, shards int, rep long, root long, stray boolean"), "ngram-local")
-    links = local.select(F.col("rep").alias("a"), F.col("root").alias("b"))
-    strays = local.filter("stray")
-    if not strays.isEmpty():
-        links = links.unionAll(_held_against_all(local, strays, docs, k, threshold))
-    comps = components(links)
-    rep = classes.join(comps, classes["rep"] == comps["node"], "left").select("n", "fp", "fp2", F.coalesce("comp", "rep").alias("comp"))
-    rep = kept(rep.select(F.col("n").alias("_n"), F.col("fp").alias("_fp"), F.col("fp2").alias("_fp2"), "comp"), "ngram-components")
-    out = own.join(rep, (F.col("n") == F.col("_n")) & (F.col("fp") == F.col("_fp")) & (F.col("fp2") == F.col("_fp2")), "left")
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "_id").alias("component_id"))
+    spread = routed.repartition(partitions(docs.sparkSession), "comp", "shard").sortWithinPartitions("comp", "shard", "rep")
+    return kept(spread.mapInPandas(trees, "comp long, shard int, shards int, rep long, root long, stray boolean"), "ngram-local")
 
 
-def _held_against_all(local: DataFrame, strays: DataFrame, docs: DataFrame, k: int, t: int) -> DataFrame:
+def _held_against_all(local: DataFrame, blocks: DataFrame, docs: DataFrame, k: int, t: int) -> DataFrame:
     """Links of the sets that didn't join their cluster's pivot, in blocks, against all shards of their cluster."""
     n = partitions(docs.sparkSession)
-    blocks = kept(strays.groupBy("comp").agg(F.ceil(F.count("*") / TRIE_SETS).cast("int").alias("blocks")), "ngram-blocks")
-    every = local.join(blocks, "comp").select("comp", "shards", "blocks", "shard", "rep", "root", "stray")
+    every = local.join(blocks.select("comp", "blocks"), "comp").select("comp", "shards", "blocks", "shard", "rep", "root", "stray")
     stored = every.select("comp", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "root", F.lit(False).alias("probe"))
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     probes = every.filter("stray").select("comp", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), block.alias("block"), "rep", "root", F.lit(True).alias("probe"))
