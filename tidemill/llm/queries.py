@@ -29,6 +29,18 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), learn=fold(3) != 1)
 
 
+def op3_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm import mtree
+
+    return mtree.search(table(spark, sf_dir, "embeddings"), every=50, top=5)
+
+
+def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm import multi_index
+
+    return multi_index.search(table(spark, sf_dir, "embeddings"), every=20, top=20)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemill.llm import quality
 
@@ -53,7 +65,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents"), window=20, digests=True)
 
 
-QUERIES = {"op2_language_id": op2_language_id, "op4_quality": op4_quality, "op7_substring_dedup": op7_substring_dedup, "op9_ngram_join": op9_ngram_join, "op5_source_mix": op5_source_mix, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op2_language_id": op2_language_id, "op3_mtree": op3_mtree, "op4_quality": op4_quality, "op8_multi_index": op8_multi_index, "op7_substring_dedup": op7_substring_dedup, "op9_ngram_join": op9_ngram_join, "op5_source_mix": op5_source_mix, "op10_byte_bpe": op10_byte_bpe}
 #: The words of each document, in order (DuckDB has no lower() for A-Z alone, hence translate).
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _FOLDED = _WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
@@ -88,5 +100,10 @@ words as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as j from doc
 left_ as (select words.doc_id, string_agg(x, ' ' order by words.j) as t from words anti join gone on gone.doc_id = words.doc_id and gone.j = words.j group by words.doc_id)
 select d.doc_id, len(d.w)::bigint as n_words, coalesce(l.n, 0)::bigint as n_removed, sha256(coalesce(k.t, '')) as kept_sha256
 from docs d left join lost l on l.doc_id = d.doc_id left join left_ k on k.doc_id = d.doc_id
+""",
+    "op3_mtree": """
+with vecs as (select vec_id, list_transform(embedding, x -> floor(256 * x::double)) as v from embeddings where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+scores as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score from vecs q join vecs c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
+select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scores) where rank <= 5
 """,
 }
