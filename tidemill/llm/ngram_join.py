@@ -1,8 +1,9 @@
 """N-gram Jaccard self-join by prefix trees: documents linked by their shingle sets, and the components of the links.
 
-Documents with equal sets are one class. Classes that can link share one of their first |s| - ceil(0.8 |s|) + 1 shingles in
-one global order (rarest first; ties by hash), so neighbours by size within each such shingle chain up candidate clusters
-without listing pairs. Each cluster's sets go to one trie (large clusters: to shards of bounded size, each with the
+Documents with equal sets are one class. Classes that can link share at least m of their first |s| - ceil(0.8 |s|) + m
+shingles in one global order (rarest first; ties by hash). So candidate clusters are chained up from pairs that share m of the
+shingles that few have, and from neighbours by size where many have one: linked pairs are within a cluster, and no group's
+pairs are listed but those of at most GROUP. Each cluster's sets go to one trie (large clusters: to shards of bounded size, each with the
 cluster's pivot; where many don't join the pivot the cluster is split anew by its own exact counts, and the few that
 remain are held against all shards in blocks). A document is looked up in the trie:
 subtrees share the overlap so far, and fall away when the shingles left can't reach the needed overlap, or
@@ -24,6 +25,8 @@ from tidemill.llm.shared import as_bytes, components, kept, mix, partitions, run
 FREQUENT = 400_000
 #: Sets and shingles of one trie.
 TRIE_SETS, TRIE_SHINGLES = 500, 1_000_000
+#: Documents of a shingle among which all pairs are counted; in larger groups neighbours by size stand for all.
+GROUP = 8
 #: A shingle counted over 2 ** HOT times is chained in salted parts, then across them.
 HOT = 13
 #: Times that clusters of many unlike sets are clustered anew, by exact counts, before all is held against all in blocks.
@@ -66,6 +69,55 @@ def need(x: int, t: int) -> int:
     return -(-t * x // 100)
 
 
+def shared_least(n):
+    """How many of their first |s| - ceil(t |s|) + shared_least(|s|) shingles two linked sets share at least (the lesser of the two numbers)."""
+    return 1 + n // 33
+
+
+def _edges(rows, going: bool, last: bool, t: int):
+    """Of rows sorted by (token, salt, n, fp): pairs that may link, with how many tokens they share here and how many they must share; then the rows of a token that may go on, and whether it has more than GROUP.
+
+    All pairs of a token with at most GROUP rows; of one with more, each with the next, at once enough to be held a candidate.
+    """
+    import pandas as pd
+
+    token, salt, n, fp = (rows[x].to_numpy() for x in ("token", "salt", "n", "fp"))
+    new = np.concatenate([[True], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])])
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, len(token)))
+    large = size > GROUP
+    large[0] |= going
+    end, rest, on = len(token), None, False
+    if not last:
+        on = bool(large[-1])
+        rest = rows.iloc[-1:] if on else rows.iloc[start[-1] :]
+        end = len(token) if on else int(start[-1])
+    group = np.cumsum(new) - 1
+    found = []
+    for d in range(1, GROUP):
+        if end <= d:
+            break
+        i, j = np.arange(d, end), np.arange(end - d)
+        ok = (group[i] == group[j]) & (fp[i] != fp[j]) & (100 * n[j].astype(np.int64) >= t * n[i].astype(np.int64)) & (~large[group[i]] | (d == 1))
+        i, j = i[ok], j[ok]
+        many = large[group[i]]
+        found.append((np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j]), np.where(many, 1 << 32, 1), shared_least(n[j].astype(np.int64))))
+    if not found:
+        return pd.DataFrame({"a": [], "b": [], "c": [], "least": []}).astype("int64"), rest, on
+    out = pd.DataFrame(dict(zip(("a", "b", "c", "least"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+    return out.groupby(["a", "b"], as_index=False, sort=False).agg({"c": "sum", "least": "max"}), rest, on
+
+
+def _heads(rows):
+    """Of the parts of hot tokens: the first row of each tenth of size, as a = token, b = class, c = 0, least = size."""
+    import pandas as pd
+
+    rows = rows[rows["hot"].to_numpy()]
+    tenth = np.floor(np.log(rows["n"].to_numpy(np.float64)) / np.log(1.1)) if len(rows) else []
+    one = rows.assign(tenth=tenth).drop_duplicates(["token", "salt", "tenth"])
+    return pd.DataFrame({"a": one["token"], "b": one["fp"], "c": 0, "least": one["n"]}).astype("int64")
+
+
 class Trie:
     """Sets as paths of ranks, ascending; edges hold runs of ranks. A node: [ranks, children by first rank, sets that end here, least size, greatest size, a set below, all below linked]."""
 
@@ -219,7 +271,7 @@ def candidate_clusters(docs: DataFrame, counted: DataFrame, k: int, t: int) -> D
                     maybe = np.flatnonzero(rough[s >> np.uint64(42)])
                     at = np.minimum(np.searchsorted(h, s[maybe]), len(h) - 1)
                     level[maybe] = np.where(h[at] == s[maybe], levels[at], 0)
-                first = len(s) - need(len(s), t) + 1
+                first = min(len(s), len(s) - need(len(s), t) + shared_least(len(s)))
                 pick = np.argsort(level, kind="stable")[:first]  # s is in the order of hashes
                 tokens.append(s[pick])
                 heat.append(level[pick])
@@ -232,12 +284,33 @@ def candidate_clusters(docs: DataFrame, counted: DataFrame, k: int, t: int) -> D
                 yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "fp": np.concatenate(owner), "n": np.concatenate(sizes), "heat": np.concatenate(heat)})
 
     parts = F.expr(f"1 << greatest(0, heat - {HOT})")
-    rows = texts.mapInPandas(prefixes, "token long, fp long, n int, heat byte").select("token", F.pmod(F.xxhash64("fp"), parts).alias("salt"), "n", "fp", "heat")
-    by_size = Window.partitionBy("token", "salt").orderBy("n", "fp")
-    near = (F.col("last.fp") != F.col("fp")) & (100 * F.col("last.n") >= t * F.col("n"))
-    chains = rows.withColumn("last", F.lag(F.struct("fp", "n")).over(by_size)).filter(near).select(F.col("last.fp").alias("a"), F.col("fp").alias("b"))
+    rows = texts.mapInPandas(prefixes, "token long, fp long, n int, heat byte").select("token", F.pmod(F.xxhash64("fp"), parts).cast("int").alias("salt"), "n", "fp", (F.col("heat") > HOT).alias("hot"))
+
+    hot = bool(len(top)) and int(np.max(top["level"].to_numpy())) > HOT
+
+    def neighbours(batches):
+        import pandas as pd
+
+        rest, going = None, False
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if hot:
+                yield _heads(batch)
+            edges, rest, going = _edges(rows, going, False, t)
+            yield edges
+        if rest is not None:
+            yield _edges(rest, going, True, t)[0]
+
+    sorted_rows = rows.repartition(partitions(spark), "token", "salt").sortWithinPartitions("token", "salt", "n", "fp")
+    pairs = sorted_rows.mapInPandas(neighbours, "a long, b long, c long, least long")
+    pairs = kept(pairs, "ngram-pairs") if hot else pairs
+    chains = pairs.filter("c > 0").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("least").alias("least")).filter("c >= least").select("a", "b")
+    if not hot:
+        return components(chains)
     # across the parts of a hot token: one class for each part and tenth of size, chained with the slack that this costs
-    heads = rows.filter(F.col("heat") > HOT).groupBy("token", "salt", F.floor(F.log(F.col("n").cast("double")) / np.log(1.1)).alias("tenth")).agg(F.min(F.struct("n", "fp")).alias("one")).select("token", "one.n", "one.fp")
+    heads = pairs.filter("c = 0").select(F.col("a").alias("token"), F.col("least").alias("n"), F.col("b").alias("fp")).distinct()
     loose = (F.col("last.fp") != F.col("fp")) & (121 * F.col("last.n") >= t * F.col("n"))
     across = heads.withColumn("last", F.lag(F.struct("fp", "n")).over(Window.partitionBy("token").orderBy("n", "fp"))).filter(loose).select(F.col("last.fp").alias("a"), F.col("fp").alias("b"))
     return components(chains.unionAll(across))
