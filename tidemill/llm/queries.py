@@ -23,6 +23,23 @@ def fold(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op1_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2 p (chosen) and 2 p + 1 (rejected) as pairs; masks as the characters they count."""
+    from tidemill.llm import preference
+
+    out = preference.adjacent(table(spark, sf_dir, "conversations"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("pair_id", "prompt_turns", F.md5("prompt").alias("prompt_md5"), F.md5("chosen").alias("chosen_md5"), F.md5("rejected").alias("rejected_md5"), total("chosen_spans").alias("chosen_masked"), total("rejected_spans").alias("rejected_masked"))
+
+
+def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidemill.llm import token_count
+
+    return token_count.count(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemill.llm import language_id
 
@@ -65,7 +82,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents"), window=20, digests=True)
 
 
-QUERIES = {"op2_language_id": op2_language_id, "op3_mtree": op3_mtree, "op4_quality": op4_quality, "op8_multi_index": op8_multi_index, "op7_substring_dedup": op7_substring_dedup, "op9_ngram_join": op9_ngram_join, "op5_source_mix": op5_source_mix, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op1_preference": op1_preference, "op6_token_count": op6_token_count, "op2_language_id": op2_language_id, "op3_mtree": op3_mtree, "op4_quality": op4_quality, "op8_multi_index": op8_multi_index, "op7_substring_dedup": op7_substring_dedup, "op9_ngram_join": op9_ngram_join, "op5_source_mix": op5_source_mix, "op10_byte_bpe": op10_byte_bpe}
 #: The words of each document, in order (DuckDB has no lower() for A-Z alone, hence translate).
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _FOLDED = _WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
@@ -105,5 +122,22 @@ from docs d left join lost l on l.doc_id = d.doc_id left join left_ k on k.doc_i
 with vecs as (select vec_id, list_transform(embedding, x -> floor(256 * x::double)) as v from embeddings where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
 scores as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score from vecs q join vecs c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
 select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scores) where rank <= 5
+""",
+    "op1_preference": r"""
+with t as (
+  select conv_id >> 1 as pair_id, conv_id % 2 as side, turn, role, text, row_number() over (partition by conv_id order by turn, role, text) as i,
+    '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10) as r,
+    case when role = 'assistant' then length(coalesce(text, '')) + 9 else 0 end as m
+  from conversations where conv_id is not null
+),
+pairs as (select pair_id, max(case when side = 0 then i end) as na, max(case when side = 1 then i end) as nb from t group by pair_id having na is not null and nb is not null),
+differ as (select a.pair_id, min(a.i) as i from t a join t b on a.pair_id = b.pair_id and a.i = b.i and a.side = 0 and b.side = 1 where a.role is distinct from b.role or a.text is distinct from b.text group by a.pair_id),
+cut as (select p.pair_id, coalesce(d.i - 1, least(na, nb)) as n from pairs p left join differ d using (pair_id))
+select c.pair_id, c.n::int as prompt_turns,
+  md5(coalesce(string_agg(case when side = 0 and i <= n then r end, '' order by i), '')) as prompt_md5,
+  md5(coalesce(string_agg(case when side = 0 and i > n then r end, '' order by i), '')) as chosen_md5,
+  md5(coalesce(string_agg(case when side = 1 and i > n then r end, '' order by i), '')) as rejected_md5,
+  sum(case when side = 0 and i > n then m else 0 end)::bigint as chosen_masked, sum(case when side = 1 and i > n then m else 0 end)::bigint as rejected_masked
+from cut c join t using (pair_id) group by c.pair_id, c.n
 """,
 }
