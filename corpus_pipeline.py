@@ -1,15 +1,68 @@
-"""The corpus pipeline: five stages over documents, each an operator of tidemill.llm."""
+"""The corpus pipeline: five stages over documents, each an operator of tidemill.llm. Each is written and reread before the next."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from tidemill.llm import byte_bpe, ngram_join, quality, source_mix, substring_dedup
+from tidemill.llm.queries import fold
+from tidemill.llm.shared import kept
+
+
+def _own(docs: DataFrame, df: DataFrame) -> DataFrame:
+    """df with the columns of docs."""
+    return df.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is 0.3 or more."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _own(docs, quality.classify(docs, labels, learn=fold(5) != 0, carry=True).filter("_score >= 0.3"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id."""
+    groups = ngram_join.link(docs.select("doc_id", "text"), k=5, threshold=80)
+    later = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_later"))
+    return _own(docs, docs.join(later, F.col("doc_id") == F.col("_later"), "left_anti"))
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words of 20-word windows that start earlier in the corpus; n_chars follows."""
+    out = substring_dedup.dedup(docs, window=20, carry=True)
+    return _own(docs, out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice."""
+    mixed = source_mix.mix(docs, weights=[3, 1, 2], share=1.5, most=2, carry=True)
+    return _own(docs, mixed.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and decoded bytes' digests of each document of the mix."""
+    import public_tokenizers
+
+    return byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
+
+
+STAGES = [
+    ("quality classifier", drop_low_quality),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("substring dedup", drop_repeated_passages),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE encoding and decoding", encode),
+]
+#: A trained classifier and a rounded optimum are no SQL; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir; each is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = kept(docs, "pipeline")
     return docs
