@@ -119,7 +119,7 @@ select d.doc_id, len(d.w)::bigint as n_words, coalesce(l.n, 0)::bigint as n_remo
 from docs d left join lost l on l.doc_id = d.doc_id left join left_ k on k.doc_id = d.doc_id
 """,
     "op3_mtree": """
-with vecs as (select vec_id, list_transform(embedding, x -> floor(256 * x::double)) as v from embeddings where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+with vecs as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 scores as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score from vecs q join vecs c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
 select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scores) where rank <= 5
 """,

@@ -180,3 +180,31 @@ def components(edges: DataFrame) -> DataFrame:
             further = moved.select(F.col("high").alias("low"), F.col("low").alias("next"))
             moved = kept(moved.join(further, "low", "left").select("high", F.coalesce("next", "low").alias("low")), "cc-moved")
         label = kept(label.join(moved, label["comp"] == moved["high"], "left").select("node", F.coalesce("low", "comp").alias("comp")), "cc-labels")
+
+
+#: Bits of the filter below: 2 MB, whatever the number of ids.
+FILTER_BITS = 1 << 24
+
+
+def maybe_in(ids: DataFrame, id_col: str):
+    """A function from a column to whether its value may be among ids: a bitmap of hashes of fixed size, which is broadcast.
+
+    It lets rows that can't match stay out of the shuffle of a join, which then decides. With more ids than bits it
+    keeps everything, and the join is as before.
+    """
+    from pyspark.sql import functions as F
+
+    at = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(FILTER_BITS))
+    words = ids.select(at.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
+    bitmap[words["w"].to_numpy()] = words["bits"].to_numpy()
+    held = ids.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def look(p):
+        import pandas as pd
+
+        p = p.to_numpy()
+        return pd.Series((held.value[p >> 6] >> (p & 63)) & 1 == 1)
+
+    return lambda column: look(F.coalesce(F.pmod(F.xxhash64(column.cast("long")), F.lit(FILTER_BITS)), F.lit(0)))
