@@ -341,7 +341,7 @@ def link(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id
             break
         # clusters that hold many unlike sets: their own exact counts order their shingles better
         unlike = kept(local.join(many.select("comp"), "comp").select("rep").distinct(), "ngram-unlike-ids")
-        part = kept(docs.filter(maybe_in(unlike, "rep")(F.col("_id"))).join(unlike, docs["_id"] == unlike["rep"]).select("_id", "_text"), "ngram-unlike")
+        part = kept(maybe_in(unlike, "rep")(docs, F.col("_id")).join(unlike, F.col("_id") == F.col("rep")).select("_id", "_text"), "ngram-unlike")
         clusters = candidate_clusters(part, surveyed(part, k, exact=True).select("h", "c"), k, threshold)
     comps = components(links)
     rep = classes.join(comps, classes["rep"] == comps["node"], "left").select("n", "fp", "fp2", F.coalesce("comp", "rep").alias("comp"))
@@ -357,8 +357,8 @@ def _joined_in_clusters(clusters: DataFrame, classes: DataFrame, docs: DataFrame
     size = kept(size.filter("members > 1").drop("members"), "ngram-clusters")
     shard = F.when(F.col("shards") == 1, F.array(F.lit(0))).when(F.col("rep") == F.col("pivot"), F.sequence(F.lit(0), F.col("shards") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int")))
     member = kept(member.join(size, "comp").select("comp", "shards", "pivot", "rep", F.explode(shard).alias("shard")), "ngram-members")
-    docs = docs.filter(maybe_in(member, "rep")(F.col("_id")))
-    routed = member.join(docs, member["rep"] == docs["_id"]).select("comp", "shard", "shards", "pivot", "rep", "_text")
+    docs = maybe_in(member, "rep")(docs, F.col("_id"))
+    routed = member.join(docs, F.col("rep") == F.col("_id")).select("comp", "shard", "shards", "pivot", "rep", "_text")
 
     def trees(batches):
         import pandas as pd
@@ -383,8 +383,8 @@ def _held_against_all(local: DataFrame, blocks: DataFrame, docs: DataFrame, k: i
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     probes = every.filter("stray").select("comp", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), block.alias("block"), "rep", "root", F.lit(True).alias("probe"))
     routed = kept(stored.unionAll(probes).groupBy("comp", "shard", "block", "rep").agg(F.min("root").alias("root"), F.max("probe").alias("probe")), "ngram-blocks")
-    docs = docs.filter(maybe_in(routed, "rep")(F.col("_id")))
-    routed = routed.join(docs, routed["rep"] == docs["_id"]).select("comp", "shard", "block", "rep", "root", "probe", "_text")
+    docs = maybe_in(routed, "rep")(docs, F.col("_id"))
+    routed = routed.join(docs, F.col("rep") == F.col("_id")).select("comp", "shard", "block", "rep", "root", "probe", "_text")
 
     def trees(batches):
         import pandas as pd

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.functions.session import ensure_package
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ensure_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -182,29 +182,25 @@ def components(edges: DataFrame) -> DataFrame:
         label = kept(label.join(moved, label["comp"] == moved["high"], "left").select("node", F.coalesce("low", "comp").alias("comp")), "cc-labels")
 
 
-#: Bits of the filter below: 2 MB, whatever the number of ids.
-FILTER_BITS = 1 << 24
+#: Bits of the filter below; as words of 64 bits it has 131,072 rows at most, a few MB, whatever the number of ids.
+FILTER_BITS = 1 << 23
 
 
 def maybe_in(ids: DataFrame, id_col: str):
-    """A function from a column to whether its value may be among ids: a bitmap of hashes of fixed size, which is broadcast.
+    """A function (df, column, anti=False) to the rows of df whose column may be among ids (anti: those that aren't for sure), by a bitmap of hashes of fixed size, which is broadcast.
 
     It lets rows that can't match stay out of the shuffle of a join, which then decides. With more ids than bits it
     keeps everything, and the join is as before.
     """
     from pyspark.sql import functions as F
 
-    at = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(FILTER_BITS))
-    words = ids.select(at.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
-    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
-    bitmap[words["w"].to_numpy()] = words["bits"].to_numpy()
-    held = ids.sparkSession.sparkContext.broadcast(bitmap)
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(FILTER_BITS)).cast("int")
+    words = ids.select(place(F.col(id_col)).alias("p")).groupBy(F.shiftright("p", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, p & 63)")).alias("_bits"))
+    words = kept(words, "filter")
 
-    @F.pandas_udf("boolean")
-    def look(p):
-        import pandas as pd
-
-        p = p.to_numpy()
-        return pd.Series((held.value[p >> 6] >> (p & 63)) & 1 == 1)
+    def rows(df: DataFrame, column, anti: bool = False) -> DataFrame:
+        p = place(column)
+        hit = (F.shiftright(p, 6) == F.col("_word")) & (F.call_function("shiftright", F.col("_bits"), p.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1)) == 1)
+        return df.join(F.broadcast(words), hit, "left_anti" if anti else "left_semi")
 
-    return lambda column: look(F.coalesce(F.pmod(F.xxhash64(column.cast("long")), F.lit(FILTER_BITS)), F.lit(0)))
+    return rows

@@ -189,7 +189,7 @@ def removed_runs(docs: DataFrame, window: int) -> DataFrame:
     places = found.join(repeated, "a").select("fp", F.struct("lo", "more", "a", "hot").alias("run"))
     runs = kept(places.groupBy("fp").agg(F.sort_array(F.collect_set("run")).alias("runs")), "dedup-runs")  # of one text each
     candidates = kept(reps.join(runs, "fp").select("rep", "runs"), "dedup-candidates")
-    routed = docs.select("_id", "_text").filter(maybe_in(candidates, "rep")(F.col("_id"))).join(candidates, F.col("_id") == F.col("rep"))
+    routed = maybe_in(candidates, "rep")(docs.select("_id", "_text"), F.col("_id")).join(candidates, F.col("_id") == F.col("rep"))
 
     def passages(batches):
         import pandas as pd
@@ -289,9 +289,9 @@ def dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: s
     tail = "n_words bigint, n_removed bigint, " + ("kept_sha256 string" if digests else "spans array<int>, kept string")
     columns = [F.col(f"`{c}`") for c in docs.columns] if carry else []
     rows = docs.select(*columns, F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    loses = maybe_in(gone, "doc")(F.col("_id"))
-    whole = rows.filter(~loses).withColumn("gone", F.lit(None).cast("array<int>"))
-    rows = rows.filter(loses).join(gone, F.col("_id") == F.col("doc"), "left").drop("doc").unionAll(whole)
+    loses = maybe_in(gone, "doc")
+    whole = loses(rows, F.col("_id"), anti=True).withColumn("gone", F.lit(None).cast("array<int>"))
+    rows = loses(rows, F.col("_id")).join(gone, F.col("_id") == F.col("doc"), "left").drop("doc").unionAll(whole)
     names = [*(docs.columns if carry else []), "_id"]
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
 
