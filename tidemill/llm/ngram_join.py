@@ -1,22 +1,22 @@
 """N-gram Jaccard self-join by prefix trees: documents linked by their shingle sets, and the components of the links.
 
 Documents with equal sets are one class. Classes that can link share at least m of their first |s| - ceil(0.8 |s|) + m
-shingles in one global order (rarest first; ties by hash). So candidate clusters are chained up from pairs that share m of the
-shingles that few have, and from neighbours by size where many have one: linked pairs are within a cluster, and no group's
-pairs are listed but those of at most GROUP. Each cluster's sets go to one trie (large clusters: to shards of bounded size, each with the
+shingles in one global order (rarest first; ties by hash). Candidate clusters are made of pairs that share enough of the
+shingles that at most GROUP have, and, among documents with enough shingles that more have, of each with the first of like size
+that has the same: linked pairs are within a cluster, and no group's pairs are listed but those of at most GROUP. Each cluster's sets go to one trie (large clusters: to shards of bounded size, each with the
 cluster's pivot; where many don't join the pivot the cluster is split anew by its own exact counts, and the few that
 remain are held against all shards in blocks). A document is looked up in the trie:
 subtrees share the overlap so far, and fall away when the shingles left can't reach the needed overlap, or
 when all below is linked to the document already.
 
-A null text, or one without words, has an empty set and no links. Fewer than k words are one shingle. Rows that repeat an id must repeat its text. Repeated rows and equal
+A null text, or one without words, has an empty set and no links; nor has a row without an id. Fewer than k words are one shingle. Rows that repeat an id must repeat its text. Repeated rows and equal
 texts are one class. Texts of any length are taken whole; other columns don't matter. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.shared import as_bytes, components, kept, maybe_in, mix, partitions, run_hashes, slices, union_find, word_hashes
@@ -25,9 +25,9 @@ from tidemill.llm.shared import as_bytes, components, kept, maybe_in, mix, parti
 FREQUENT = 400_000
 #: Sets and shingles of one trie.
 TRIE_SETS, TRIE_SHINGLES = 500, 1_000_000
-#: Documents of a shingle among which all pairs are counted; in larger groups neighbours by size stand for all.
+#: Documents of a shingle among which all pairs are counted.
 GROUP = 8
-#: A shingle counted over 2 ** HOT times is chained in salted parts, then across them.
+#: A shingle counted over 2 ** HOT times is sorted in salted parts.
 HOT = 13
 #: Times that clusters of many unlike sets are clustered anew, by exact counts, before all is held against all in blocks.
 ROUNDS = 3
@@ -69,53 +69,52 @@ def need(x: int, t: int) -> int:
     return -(-t * x // 100)
 
 
-def shared_least(n):
-    """How many of their first |s| - ceil(t |s|) + shared_least(|s|) shingles two linked sets share at least (the lesser of the two numbers)."""
-    return 1 + n // 33
+def extra(n):
+    """How much longer the looked-at beginning of a set of n shingles is than what one shared shingle takes."""
+    return 1 + n // 50
+
+
+def shared_least(x, y, t: int):
+    """How many shingles the beginnings of two linked sets share at least.
+
+    One of the beginnings ends first in the order, say that of x: its shared shingles are all in y's, and at most the rest
+    of x, ceil(t x) - extra(x), can be shared besides.
+    """
+    overlap = -(-t * (x + y) // (100 + t))
+    return np.minimum(overlap - (-(-t * x // 100)) + extra(x), overlap - (-(-t * y // 100)) + extra(y))
 
 
 def _edges(rows, going: bool, last: bool, t: int):
-    """Of rows sorted by (token, salt, n, fp): pairs that may link, with how many tokens they share here and how many they must share; then the rows of a token that may go on, and whether it has more than GROUP.
+    """Of rows sorted by (token, salt, n, doc), as a, b, c, least: pairs of documents with how many tokens they share here and how many they must share; and of tokens that more than GROUP documents have (token, document, 0, size).
 
-    All pairs of a token with at most GROUP rows; of one with more, each with the next, at once enough to be held a candidate.
+    Then the rows of a token that may go on, and whether it has more than GROUP already.
     """
     import pandas as pd
 
-    token, salt, n, fp = (rows[x].to_numpy() for x in ("token", "salt", "n", "fp"))
+    token, n, doc = (rows[x].to_numpy().astype(np.int64) for x in ("token", "n", "doc"))
+    salt = rows["salt"].to_numpy() if "salt" in rows else np.zeros(len(token), np.int8)
     new = np.concatenate([[True], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])])
     start = np.flatnonzero(new)
-    size = np.diff(np.append(start, len(token)))
-    large = size > GROUP
+    large = np.diff(np.append(start, len(token))) > GROUP
     large[0] |= going
+    if "hot" in rows:  # its other parts aren't counted here
+        large |= rows["hot"].to_numpy()[start]
     end, rest, on = len(token), None, False
     if not last:
         on = bool(large[-1])
-        rest = rows.iloc[-1:] if on else rows.iloc[start[-1] :]
-        end = len(token) if on else int(start[-1])
+        end = len(token) - 1 if on else int(start[-1])
+        rest = rows.iloc[end:]
     group = np.cumsum(new) - 1
-    found = []
+    many = np.flatnonzero(large[group[:end]])
+    found = [(token[many], doc[many], np.zeros(len(many), np.int64), n[many])]
     for d in range(1, GROUP):
         if end <= d:
             break
         i, j = np.arange(d, end), np.arange(end - d)
-        ok = (group[i] == group[j]) & (fp[i] != fp[j]) & (100 * n[j].astype(np.int64) >= t * n[i].astype(np.int64)) & (~large[group[i]] | (d == 1))
+        ok = (group[i] == group[j]) & ~large[group[i]] & (doc[i] != doc[j]) & (100 * n[j] >= t * n[i])
         i, j = i[ok], j[ok]
-        many = large[group[i]]
-        found.append((np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j]), np.where(many, 1 << 32, 1), shared_least(n[j].astype(np.int64))))
-    if not found:
-        return pd.DataFrame({"a": [], "b": [], "c": [], "least": []}).astype("int64"), rest, on
-    out = pd.DataFrame(dict(zip(("a", "b", "c", "least"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
-    return out.groupby(["a", "b"], as_index=False, sort=False).agg({"c": "sum", "least": "max"}), rest, on
-
-
-def _heads(rows):
-    """Of the parts of hot tokens: the first row of each tenth of size, as a = token, b = class, c = 0, least = size."""
-    import pandas as pd
-
-    rows = rows[rows["hot"].to_numpy()]
-    tenth = np.floor(np.log(rows["n"].to_numpy(np.float64)) / np.log(1.1)) if len(rows) else []
-    one = rows.assign(tenth=tenth).drop_duplicates(["token", "salt", "tenth"])
-    return pd.DataFrame({"a": one["token"], "b": one["fp"], "c": 0, "least": one["n"]}).astype("int64")
+        found.append((np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j]), np.ones(len(i), np.int64), shared_least(n[j], n[i], t)))
+    return pd.DataFrame(dict(zip(("a", "b", "c", "least"), map(np.concatenate, zip(*found, strict=True)), strict=True))), rest, on
 
 
 class Trie:
@@ -237,9 +236,9 @@ def surveyed(docs: DataFrame, k: int, exact: bool = False) -> DataFrame:
 
 
 def candidate_clusters(docs: DataFrame, counted: DataFrame, k: int, t: int) -> DataFrame:
-    """node (a class's first fingerprint), comp: classes that may link are in one cluster. Classes alone are left out. counted: h, c as surveyed."""
+    """node (a document; of equal sets in a task the first), comp: documents that may link are in one cluster. Others are left out. counted: h, c as surveyed."""
     spark = docs.sparkSession
-    texts = docs.select("_text")
+    texts = docs.filter("_id is not null").select("_id", "_text")
     counts = kept(counted.groupBy("h").agg(F.sum("c").alias("c")).filter("c > 1").select("h", F.floor(F.log2("c")).cast("int").alias("level")), "ngram-counts")
     total, least = 0, 99
     for level, n in sorted(((r["level"], r["count"]) for r in counts.groupBy("level").count().collect()), reverse=True):
@@ -262,7 +261,7 @@ def candidate_clusters(docs: DataFrame, counted: DataFrame, k: int, t: int) -> D
         for batch in batches:
             tokens, owner, sizes, heat = [], [], [], []
             sets = list(all_shingles(batch["_text"], k))
-            for s, fp in zip(sets, prints(sets)[0].tolist(), strict=True):
+            for i, s, fp in zip(batch["_id"].tolist(), sets, prints(sets)[0].tolist(), strict=True):
                 if not len(s) or fp in seen:
                     continue
                 seen.add(fp)
@@ -271,22 +270,25 @@ def candidate_clusters(docs: DataFrame, counted: DataFrame, k: int, t: int) -> D
                     maybe = np.flatnonzero(rough[s >> np.uint64(42)])
                     at = np.minimum(np.searchsorted(h, s[maybe]), len(h) - 1)
                     level[maybe] = np.where(h[at] == s[maybe], levels[at], 0)
-                first = min(len(s), len(s) - need(len(s), t) + shared_least(len(s)))
+                first = min(len(s), len(s) - need(len(s), t) + extra(len(s)))
                 pick = np.argsort(level, kind="stable")[:first]  # s is in the order of hashes
-                tokens.append(s[pick])
+                tokens.append(s[pick] >> np.uint64(16))  # 48 bits are enough to find candidates
                 heat.append(level[pick])
-                owner.append(np.full(first, fp, np.int64))
+                owner.append(np.full(first, i, np.int64))
                 sizes.append(np.full(first, len(s), np.int32))
                 if sum(map(len, tokens)) > 500_000:
-                    yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "fp": np.concatenate(owner), "n": np.concatenate(sizes), "heat": np.concatenate(heat)})
+                    yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "doc": np.concatenate(owner), "n": np.concatenate(sizes), "heat": np.concatenate(heat)})
                     tokens, owner, sizes, heat = [], [], [], []
             if tokens:
-                yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "fp": np.concatenate(owner), "n": np.concatenate(sizes), "heat": np.concatenate(heat)})
-
-    parts = F.expr(f"1 << greatest(0, heat - {HOT})")
-    rows = texts.mapInPandas(prefixes, "token long, fp long, n int, heat byte").select("token", F.pmod(F.xxhash64("fp"), parts).cast("int").alias("salt"), "n", "fp", (F.col("heat") > HOT).alias("hot"))
+                yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "doc": np.concatenate(owner), "n": np.concatenate(sizes), "heat": np.concatenate(heat)})
 
     hot = bool(len(top)) and int(np.max(top["level"].to_numpy())) > HOT
+    rows = texts.mapInPandas(prefixes, "token long, doc long, n int, heat byte")
+    if hot:
+        parts = F.expr(f"1 << greatest(0, heat - {HOT})")
+        rows = rows.select("token", F.pmod(F.xxhash64("doc"), parts).cast("int").alias("salt"), "n", "doc", (F.col("heat") > HOT).alias("hot"))
+    key = ["token", "salt"] if hot else ["token"]
+    rows = rows.drop("heat")
 
     def neighbours(batches):
         import pandas as pd
@@ -296,24 +298,27 @@ def candidate_clusters(docs: DataFrame, counted: DataFrame, k: int, t: int) -> D
             if not len(batch):
                 continue
             rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            if hot:
-                yield _heads(batch)
             edges, rest, going = _edges(rows, going, False, t)
             yield edges
         if rest is not None:
             yield _edges(rest, going, True, t)[0]
 
-    sorted_rows = rows.repartition(partitions(spark), "token", "salt").sortWithinPartitions("token", "salt", "n", "fp")
-    pairs = sorted_rows.mapInPandas(neighbours, "a long, b long, c long, least long")
-    pairs = kept(pairs, "ngram-pairs") if hot else pairs
-    chains = pairs.filter("c > 0").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("least").alias("least")).filter("c >= least").select("a", "b")
-    if not hot:
-        return components(chains)
-    # across the parts of a hot token: one class for each part and tenth of size, chained with the slack that this costs
-    heads = pairs.filter("c = 0").select(F.col("a").alias("token"), F.col("least").alias("n"), F.col("b").alias("fp")).distinct()
-    loose = (F.col("last.fp") != F.col("fp")) & (121 * F.col("last.n") >= t * F.col("n"))
-    across = heads.withColumn("last", F.lag(F.struct("fp", "n")).over(Window.partitionBy("token").orderBy("n", "fp"))).filter(loose).select(F.col("last.fp").alias("a"), F.col("fp").alias("b"))
-    return components(chains.unionAll(across))
+    sorted_rows = rows.repartition(partitions(spark), *key).sortWithinPartitions(*key, "n", "doc")
+    found = kept(sorted_rows.mapInPandas(neighbours, "a long, b long, c long, least long"), "ngram-pairs")
+    large = found.filter("c = 0").select(F.col("a").alias("token"), F.col("b").alias("doc"), F.floor(F.log(F.col("least").cast("double")) / np.log(1.1)).alias("tenth"), F.col("least").alias("n"))
+    # of the shingles that two documents share, those that many have aren't counted: as many as the one with fewer of these has, at most
+    held = kept(large.groupBy("doc").agg(F.count("*").alias("held"), F.max("n").alias("n")), "ngram-held")
+    ha, hb = held.select(F.col("doc").alias("a"), F.col("held").alias("ha")), held.select(F.col("doc").alias("b"), F.col("held").alias("hb"))
+    pairs = found.filter("c > 0").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("least").alias("least")).join(ha, "a", "left").join(hb, "b", "left")
+    pairs = pairs.filter(F.col("c") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) >= F.col("least")).select("a", "b")
+    # documents with enough of them to link by them alone: each with the first one of its size that has the shingle, and these with each other
+    enough = held.filter(F.col("held") >= F.greatest(F.lit(1), F.floor(F.col("n") / 50))).select("doc")
+    large = kept(large.join(enough, "doc").select("token", "tenth", "doc"), "ngram-large")
+    heads = kept(large.groupBy("token", "tenth").agg(F.min("doc").alias("head")), "ngram-heads")
+    star = large.join(heads, ["token", "tenth"]).filter("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b"))
+    other = heads.select("token", F.col("tenth").alias("_t"), F.col("head").alias("_h"))
+    across = heads.join(other, "token").filter(F.col("_t").between(F.col("tenth") + 1, F.col("tenth") + 3) & (F.col("head") != F.col("_h"))).select(F.col("head").alias("a"), F.col("_h").alias("b"))
+    return components(pairs.unionAll(star).unionAll(across).distinct())
 
 
 def link(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -323,11 +328,14 @@ def link(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id
 
     survey = kept(surveyed(docs, k), "ngram-survey")
     own = survey.filter("n is not null").select("_id", "n", "fp", "fp2")
-    classes = kept(own.filter("n > 0").groupBy("n", "fp", "fp2").agg(F.min("_id").alias("rep")), "ngram-classes")
+    classes = own.filter("n > 0").groupBy("n", "fp", "fp2").agg(F.min("_id").alias("rep"))
+    classes = kept(classes.select(F.col("n").alias("_n"), F.col("fp").alias("_fp"), F.col("fp2").alias("_fp2"), "rep"), "ngram-classes")
+    same = (F.col("n") == F.col("_n")) & (F.col("fp") == F.col("_fp")) & (F.col("fp2") == F.col("_fp2"))
+    own = kept(own.join(classes, same, "left").select("_id", "n", F.when(F.col("_id").isNotNull(), F.col("rep")).alias("rep")), "ngram-own")
     clusters = candidate_clusters(docs, survey.filter("h is not null").select("h", "c"), k, threshold)
     links = None
     for again in range(1, ROUNDS + 1):
-        local = _joined_in_clusters(clusters, classes, docs, k, threshold)
+        local = _joined_in_clusters(clusters, own, docs, k, threshold)
         found = local.select(F.col("rep").alias("a"), F.col("root").alias("b"))
         links = found if links is None else links.unionAll(found)
         strays = local.filter("stray").groupBy("comp").agg(F.count("*").alias("strays"), F.ceil(F.count("*") / TRIE_SETS).cast("int").alias("blocks"))
@@ -344,15 +352,13 @@ def link(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id
         part = kept(maybe_in(unlike, "rep")(docs, F.col("_id")).join(unlike, F.col("_id") == F.col("rep")).select("_id", "_text"), "ngram-unlike")
         clusters = candidate_clusters(part, surveyed(part, k, exact=True).select("h", "c"), k, threshold)
     comps = components(links)
-    rep = classes.join(comps, classes["rep"] == comps["node"], "left").select("n", "fp", "fp2", F.coalesce("comp", "rep").alias("comp"))
-    rep = kept(rep.select(F.col("n").alias("_n"), F.col("fp").alias("_fp"), F.col("fp2").alias("_fp2"), "comp"), "ngram-components")
-    out = own.join(rep, (F.col("n") == F.col("_n")) & (F.col("fp") == F.col("_fp")) & (F.col("fp2") == F.col("_fp2")), "left")
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "_id").alias("component_id"))
+    out = own.join(comps, F.col("rep") == F.col("node"), "left")
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "rep", "_id").alias("component_id"))
 
 
-def _joined_in_clusters(clusters: DataFrame, classes: DataFrame, docs: DataFrame, k: int, t: int) -> DataFrame:
+def _joined_in_clusters(clusters: DataFrame, own: DataFrame, docs: DataFrame, k: int, t: int) -> DataFrame:
     """comp, shard, shards, rep, root (the least id of those it is joined with in its shard), stray (its shard's pivot isn't among them, and there are other shards)."""
-    member = classes.join(clusters, classes["fp"] == clusters["node"]).select("rep", "comp", F.col("n").alias("size"))
+    member = kept(own.join(clusters, F.col("_id") == F.col("node")).select("rep", "comp", F.col("n").alias("size")).distinct(), "ngram-candidates")
     size = member.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / TRIE_SETS), F.ceil(F.sum("size") / TRIE_SHINGLES)).cast("int").alias("shards"), F.min("rep").alias("pivot"), F.count("*").alias("members"))
     size = kept(size.filter("members > 1").drop("members"), "ngram-clusters")
     shard = F.when(F.col("shards") == 1, F.array(F.lit(0))).when(F.col("rep") == F.col("pivot"), F.sequence(F.lit(0), F.col("shards") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int")))
