@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.shared import mix
 
 #: Pre-tokens that one Python worker remembers, in a younger and an older half; a full younger half replaces the older one, so memory stays bounded.
-MEMO = 1_000_000
+MEMO = 400_000
 
 
 class PerfectHash:

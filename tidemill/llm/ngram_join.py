@@ -32,6 +32,7 @@ HOT = 13
 #: Times that clusters of many unlike sets are clustered anew, by exact counts, before all is held against all in blocks.
 ROUNDS = 3
 _SALT = np.uint64(0x2545F4914F6CDD1D)
+_QUARTERS = np.array([0, 1 << 62, 1 << 63, 3 << 62, (1 << 64) - 1], np.uint64)
 
 
 def shingles(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -226,11 +227,17 @@ def surveyed(docs: DataFrame, k: int, exact: bool = False) -> DataFrame:
             sets = list(all_shingles(batch["_text"], k))
             a, b = prints(sets)
             _, one = np.unique(a, return_index=True)  # of equal sets one counts
-            values, counts = np.unique(np.concatenate([sets[i] for i in one]), return_counts=True)
             if not exact:
-                values, counts = values[counts > 1], counts[counts > 1]
                 yield pd.DataFrame({"_id": batch["_id"].astype("Int64").reset_index(drop=True), "n": [len(s) for s in sets], "fp": a, "fp2": b, "h": None, "c": None})
-            yield pd.DataFrame({"_id": None, "n": None, "fp": None, "fp2": None, "h": values.view(np.int64), "c": counts})
+            sets = [sets[i] for i in one]
+            del batch
+            edges = [np.searchsorted(s, _QUARTERS) for s in sets]  # a quarter of the hashes at a time, to stay small
+            for q in range(len(_QUARTERS) - 1):
+                part = [s[e[q] : e[q + 1]] for s, e in zip(sets, edges, strict=True)]
+                values, counts = np.unique(np.concatenate(part), return_counts=True)
+                if not exact:
+                    values, counts = values[counts > 1], counts[counts > 1]
+                yield pd.DataFrame({"_id": None, "n": None, "fp": None, "fp2": None, "h": values.view(np.int64), "c": counts})
 
     return docs.mapInPandas(run, "_id long, n long, fp long, fp2 long, h long, c long")
 

@@ -3,7 +3,7 @@
 A word's vector is its own sparse random index plus the normalised sum of the indexes of its neighbours in the training texts.
 Words are hashed to ROWS rows, so the vectors have a fixed size and no word is unknown. Tokens for the case of a word, for a
 word that repeats the one before it, and for a line that came before in the text, are words too. A document is the mean of its
-tokens' vectors. The network (numpy, on the driver) and the vectors are fitted on at most SAMPLE labelled rows, spread by a hash
+tokens' vectors. The network (numpy, on the driver) and the vectors are fitted on about SAMPLE labelled rows, picked by a hash
 of their ids; its probabilities are calibrated by a temperature on a tenth of these that training doesn't see. Every document
 is scored, whole.
 
@@ -22,11 +22,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.shared import kept, some_rows
+
 SAMPLE = 12_000
 ROWS, WIDTH, NONZERO, NEAR = 1 << 14, 64, 6, 2
 HIDDEN, EPOCHS, BATCH = 32, 40, 128
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
-#: Tokens fitted from one text at most in training; every text is scored whole.
 _BLOCKS = 64
 
 
@@ -34,7 +35,7 @@ class _Rows(dict):
     """Row of a token; remembers a bounded number of them."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         row = self[token] = zlib.crc32(token.encode("utf-8", "surrogatepass")) % ROWS
         return row
@@ -177,13 +178,13 @@ class Network:
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, label_col: str) -> tuple[np.ndarray, Network]:
-    """The word vectors and the network, from at most SAMPLE labelled rows for which learn (over docs) holds."""
+    """The word vectors and the network, from about SAMPLE labelled rows for which learn (over docs) holds."""
     spark = docs.sparkSession
     index = random_indexes()
     marked = labels.select(F.col(id_col).alias("_lid"), F.col(label_col).alias("_label")).filter("_lid is not null and _label is not null").groupBy("_lid").agg(F.min("_label").cast("double").alias("_label"))
     rows = docs.filter(learn).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    some = marked.join(rows.select("_id").distinct(), F.col("_lid") == F.col("_id"), "left_semi").orderBy(F.xxhash64("_lid"), "_lid").limit(SAMPLE)
-    chosen = spark.createDataFrame(some.toArrow())  # at most SAMPLE ids and labels
+    some = some_rows(kept(marked.join(rows.select("_id").distinct(), F.col("_lid") == F.col("_id"), "left_semi"), "quality-labels"), ["_lid"], SAMPLE)
+    chosen = spark.createDataFrame(some.toArrow())  # about SAMPLE ids and labels
     sample = rows.join(F.broadcast(chosen), F.col("_id") == F.col("_lid")).select("_id", "_text", "_label")
 
     def sums(batches):

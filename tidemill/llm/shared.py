@@ -204,3 +204,11 @@ def maybe_in(ids: DataFrame, id_col: str):
         return df.join(F.broadcast(words), hit, "left_anti" if anti else "left_semi")
 
     return rows
+
+
+def some_rows(df: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """df, or where it has more than `most` rows about as many of them, those with the least hashes of keys. A filter: no task sees more than its own rows."""
+    from pyspark.sql import functions as F
+
+    n = df.count()
+    return df if n <= most else df.filter(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int((1 << 30) * most / n))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.byte_bpe import read_ranks
 
 #: Nodes of the trie in one Python worker; beyond that it starts anew.
-NODES = 600_000
+NODES = 300_000
 
 
 def zipf_scores(ranks: dict[bytes, int]) -> dict[bytes, int]:

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.shared import kept, partitions
+from tidemill.llm.shared import kept, partitions, some_rows
 
 #: Rows of a chunk, queries of a block, task groups of a block.
 CHUNK, BLOCK, PARTS = 4096, 512, 8
@@ -33,9 +33,10 @@ def valid(df: DataFrame, id_col: str, vec_col: str, zero: bool) -> tuple[DataFra
 
 
 def sampled(rows: DataFrame, n: int) -> np.ndarray:
-    """At most SAMPLE vectors, by a hash of their ids."""
-    got = rows.select("_id", "_vec").orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE).toArrow()
-    return np.array(got["_vec"].combine_chunks().values.to_numpy(zero_copy_only=False) if len(got) else [], np.float64).reshape(-1, n)
+    """About SAMPLE vectors, by a hash of their ids, in the order of ids and components."""
+    got = some_rows(rows.select("_id", "_vec"), ["_id"], SAMPLE).toArrow()
+    x = np.array(got["_vec"].combine_chunks().values.to_numpy(zero_copy_only=False) if len(got) else [], np.float64).reshape(-1, n)
+    return x[np.lexsort((*x.T[::-1], got["_id"].to_numpy()))] if len(x) else x
 
 
 def matrix(column, n: int) -> np.ndarray:
