@@ -27,12 +27,12 @@ def fold(n: int) -> Column:
 
 
 def op1_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2 p (chosen) and 2 p + 1 (rejected) as pairs; masks as the characters they count."""
+    """Conversations 2 p (chosen) and 2 p + 1 (rejected) as pairs; masks as start-end of the characters they count, by commas."""
     from tidemill.llm import preference
 
     out = preference.adjacent(table(spark, sf_dir, "conversations"))
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return out.select("pair_id", "prompt_turns", F.md5("prompt").alias("prompt_md5"), F.md5("chosen").alias("chosen_md5"), F.md5("rejected").alias("rejected_md5"), total("chosen_spans").alias("chosen_masked"), total("rejected_spans").alias("rejected_masked"))
+    flat = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return out.select("pair_id", "prompt_turns", "prompt", "chosen", "rejected", flat("chosen_spans").alias("chosen_mask"), flat("rejected_spans").alias("rejected_mask"))
 
 
 def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,18 +129,21 @@ select query_id, rank::int as rank, vec_id, score from (select *, row_number() o
     "op1_preference": r"""
 with t as (
   select conv_id >> 1 as pair_id, conv_id % 2 as side, turn, role, text, row_number() over (partition by conv_id order by turn, role, text) as i,
-    '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10) as r,
-    case when role = 'assistant' then length(coalesce(text, '')) + 9 else 0 end as m
+    '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10) as r
   from conversations where conv_id is not null
 ),
+placed as (
+  select *, coalesce(sum(length(r)) over (partition by pair_id, side order by i rows between unbounded preceding and 1 preceding), 0)::bigint as pos from t
+),
 pairs as (select pair_id, max(case when side = 0 then i end) as na, max(case when side = 1 then i end) as nb from t group by pair_id having na is not null and nb is not null),
 differ as (select a.pair_id, min(a.i) as i from t a join t b on a.pair_id = b.pair_id and a.i = b.i and a.side = 0 and b.side = 1 where a.role is distinct from b.role or a.text is distinct from b.text group by a.pair_id),
 cut as (select p.pair_id, coalesce(d.i - 1, least(na, nb)) as n from pairs p left join differ d using (pair_id))
 select c.pair_id, c.n::int as prompt_turns,
-  md5(coalesce(string_agg(case when side = 0 and i <= n then r end, '' order by i), '')) as prompt_md5,
-  md5(coalesce(string_agg(case when side = 0 and i > n then r end, '' order by i), '')) as chosen_md5,
-  md5(coalesce(string_agg(case when side = 1 and i > n then r end, '' order by i), '')) as rejected_md5,
-  sum(case when side = 0 and i > n then m else 0 end)::bigint as chosen_masked, sum(case when side = 1 and i > n then m else 0 end)::bigint as rejected_masked
-from cut c join t using (pair_id) group by c.pair_id, c.n
+  coalesce(string_agg(case when side = 0 and i <= n then r end, '' order by i), '') as prompt,
+  coalesce(string_agg(case when side = 0 and i > n then r end, '' order by i), '') as chosen,
+  coalesce(string_agg(case when side = 1 and i > n then r end, '' order by i), '') as rejected,
+  coalesce(string_agg(case when side = 0 and i > n and role = 'assistant' then (pos + 14)::varchar || '-' || (pos + length(r))::varchar end, ',' order by i), '') as chosen_mask,
+  coalesce(string_agg(case when side = 1 and i > n and role = 'assistant' then (pos + 14)::varchar || '-' || (pos + length(r))::varchar end, ',' order by i), '') as rejected_mask
+from cut c join placed using (pair_id) group by c.pair_id, c.n
 """,
 }
