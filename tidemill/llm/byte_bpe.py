@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.shared import mix
+from tidemill.llm.shared import mix, small_batches
 
 #: Pre-tokens that one Python worker remembers, in a younger and an older half; a full younger half replaces the older one, so memory stays bounded.
 MEMO = 400_000
@@ -159,6 +159,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     ids (little-endian, 32 bits) and of the decoded bytes stand for them: ids_sha256, decoded_sha256.
     A map over rows without a shuffle: a lost executor costs its own tasks only.
     """
+    small_batches(docs.sparkSession)
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens bigint, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary")
 
     def run(batches):
@@ -175,5 +176,6 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 else:
                     out |= {"ids": [np.frombuffer(x, "<u4").astype(np.int32) for x in ids], "decoded": back}
                 yield pd.DataFrame(out)
+        c.memo, c.older = {}, {}  # a worker that waits holds no memory
 
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, schema)

@@ -19,10 +19,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.shared import as_bytes, components, kept, maybe_in, mix, partitions, run_hashes, slices, union_find, word_hashes
+from tidemill.llm.shared import as_bytes, components, kept, maybe_in, mix, partitions, run_hashes, slices, small_batches, union_find, word_hashes
 
 #: Frequent shingles whose counts are broadcast for the order; a hint only, results don't depend on it. 9 bytes each.
 FREQUENT = 400_000
+#: Shingles that a task counts together.
+COUNTED = 4_000_000
 #: Sets and shingles of one trie.
 TRIE_SETS, TRIE_SHINGLES = 500, 1_000_000
 #: Documents of a shingle among which all pairs are counted.
@@ -218,26 +220,36 @@ def grouped(batches, keys: list[str]):
 
 
 def surveyed(docs: DataFrame, k: int, exact: bool = False) -> DataFrame:
-    """One reading of the texts: a row for each document (_id, n, fp, fp2), and rows of shingles (h, c: documents with it in a batch; only those with two or more, unless exact)."""
+    """One reading of the texts: a row for each document (_id, n, fp, fp2), and rows of shingles (h, c: documents with it among those counted together; only those with two or more, unless exact)."""
+
+    def counted(sets):
+        import pandas as pd
+
+        edges = [np.searchsorted(s, _QUARTERS) for s in sets]  # a quarter of the hashes at a time, to stay small
+        for q in range(len(_QUARTERS) - 1 if sets else 0):
+            values, counts = np.unique(np.concatenate([s[e[q] : e[q + 1]] for s, e in zip(sets, edges, strict=True)]), return_counts=True)
+            if not exact:
+                values, counts = values[counts > 1], counts[counts > 1]
+            yield pd.DataFrame({"_id": None, "n": None, "fp": None, "fp2": None, "h": values.view(np.int64), "c": counts})
 
     def run(batches):
         import pandas as pd
 
+        held, total, seen = [], 0, set()
         for batch in batches:
             sets = list(all_shingles(batch["_text"], k))
             a, b = prints(sets)
-            _, one = np.unique(a, return_index=True)  # of equal sets one counts
             if not exact:
                 yield pd.DataFrame({"_id": batch["_id"].astype("Int64").reset_index(drop=True), "n": [len(s) for s in sets], "fp": a, "fp2": b, "h": None, "c": None})
-            sets = [sets[i] for i in one]
-            del batch
-            edges = [np.searchsorted(s, _QUARTERS) for s in sets]  # a quarter of the hashes at a time, to stay small
-            for q in range(len(_QUARTERS) - 1):
-                part = [s[e[q] : e[q + 1]] for s, e in zip(sets, edges, strict=True)]
-                values, counts = np.unique(np.concatenate(part), return_counts=True)
-                if not exact:
-                    values, counts = values[counts > 1], counts[counts > 1]
-                yield pd.DataFrame({"_id": None, "n": None, "fp": None, "fp2": None, "h": values.view(np.int64), "c": counts})
+            for s, fp in zip(sets, a.tolist(), strict=True):
+                if fp not in seen:  # of equal sets one counts
+                    seen.add(fp)
+                    held.append(s)
+                    total += len(s)
+            if total > COUNTED:
+                yield from counted(held)
+                held, total, seen = [], 0, set()
+        yield from counted(held)
 
     return docs.mapInPandas(run, "_id long, n long, fp long, fp2 long, h long, c long")
 
@@ -330,7 +342,7 @@ def candidate_clusters(docs: DataFrame, counted: DataFrame, k: int, t: int) -> D
 
 def link(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: its id, n_shingles and component_id (the smallest id reachable by links, itself included). threshold: per cent of the union."""
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
 
     survey = kept(surveyed(docs, k), "ngram-survey")

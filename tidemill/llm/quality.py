@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.shared import kept, some_rows
+from tidemill.llm.shared import kept, small_batches, some_rows
 
 SAMPLE = 12_000
 ROWS, WIDTH, NONZERO, NEAR = 1 << 14, 64, 6, 2
@@ -227,6 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_c
 
 def classify(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", carry: bool = False) -> DataFrame:
     """One row for each row of docs: its id, held_out (not learn), score (of label 1) and predicted (score >= threshold). carry: docs with `_score` instead."""
+    small_batches(docs.sparkSession)
     vectors, network = train(docs, labels, learn, id_col, text_col, label_col)
     held = docs.sparkSession.sparkContext.broadcast((vectors, network))
 
@@ -235,11 +236,11 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float
             vectors, network = held.value
             for lo in range(0, len(batch), 512):
                 part = batch.iloc[lo : lo + 512].reset_index(drop=True)
-                score = network.scores(np.stack([pooled(t, vectors) for t in part["_text"]]).astype(np.float64)) if len(part) else []
-                yield part.drop(columns="_text").assign(_score=score)
+                score = network.scores(np.stack([pooled(t, vectors) for t in part[text]]).astype(np.float64)) if len(part) else []
+                yield (part if carry else part.drop(columns="_text")).assign(_score=score)
 
-    own = [F.col(f"`{c}`") for c in docs.columns] if carry else [F.col(id_col).alias("_id"), F.coalesce(~learn, F.lit(True)).alias("_held")]
-    rows = docs.select(*own, F.col(text_col).alias("_text"))
+    text = text_col if carry else "_text"
+    rows = docs if carry else docs.select(F.col(id_col).alias("_id"), F.coalesce(~learn, F.lit(True)).alias("_held"), F.col(text_col).alias("_text"))
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "_text")
     out = rows.mapInPandas(run, f"{head}_score double")
     if carry:

@@ -212,3 +212,14 @@ def some_rows(df: DataFrame, keys: list[str], most: int) -> DataFrame:
 
     n = df.count()
     return df if n <= most else df.filter(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int((1 << 30) * most / n))
+
+
+#: Rows of texts that a Python worker holds at once.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers BATCH_ROWS at a time from now on in this session, so that few long ones fit beside the executor's heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set(key, str(BATCH_ROWS))

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.shared import as_bytes, kept, maybe_in, mix, partitions, run_hashes, slices, word_hashes
+from tidemill.llm.shared import as_bytes, kept, maybe_in, mix, partitions, run_hashes, slices, small_batches, word_hashes
 
 #: Words of an anchor; windows of 20 words then have about one anchor in eight words.
 ANCHOR = 7
@@ -284,11 +284,13 @@ def dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: s
 
     digests: kept_sha256 stands for spans and kept. carry: all columns of docs, with the text column replaced by kept.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     gone = kept(removed_runs(base, window), "dedup-gone")
     tail = "n_words bigint, n_removed bigint, " + ("kept_sha256 string" if digests else "spans array<int>, kept string")
     columns = [F.col(f"`{c}`") for c in docs.columns] if carry else []
-    rows = docs.select(*columns, F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    text = text_col if carry else "_text"
+    rows = docs.select(*(columns or [F.col(text_col).alias("_text")]), F.col(id_col).cast("long").alias("_id"))
     loses = maybe_in(gone, "doc")
     whole = loses(rows, F.col("_id"), anti=True).withColumn("gone", F.lit(None).cast("array<int>"))
     rows = loses(rows, F.col("_id")).join(gone, F.col("_id") == F.col("doc"), "left").drop("doc").unionAll(whole)
@@ -300,8 +302,8 @@ def dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: s
 
         for batch in batches:
             n_words, n_removed, spans, texts = [], [], [], []
-            for text, gone in zip(batch["_text"], batch["gone"], strict=True):
-                words = text.encode("utf-8", "surrogatepass").split() if isinstance(text, str) else []
+            for whole, gone in zip(batch[text], batch["gone"], strict=True):
+                words = whole.encode("utf-8", "surrogatepass").split() if isinstance(whole, str) else []
                 left, at, out = [], 0, []
                 if gone is not None and len(words) >= window:
                     for lo, hi in zip(gone[0::2].tolist(), gone[1::2].tolist(), strict=True):
@@ -321,13 +323,13 @@ def dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: s
             else:
                 if not carry:
                     out["spans"] = spans
-                out["_kept" if carry else "kept"] = [t.decode("utf-8", "surrogatepass") if isinstance(x, str) else None for t, x in zip(texts, batch["_text"], strict=True)]
+                out["_kept" if carry else "kept"] = [t.decode("utf-8", "surrogatepass") if isinstance(x, str) else None for t, x in zip(texts, batch[text], strict=True)]
             yield out
 
     if not carry:
         return rows.select("_id", "_text", "gone").mapInPandas(run, f"_id bigint, {tail}").withColumnRenamed("_id", id_col)
     head = "".join(f"`{c}` {types[c]}, " for c in docs.columns)
-    out = rows.select(*columns, "_id", "_text", "gone").mapInPandas(run, f"{head}_id bigint, _kept string")
+    out = rows.select(*columns, "_id", "gone").mapInPandas(run, f"{head}_id bigint, _kept string")
     return out.select(*[F.col("_kept").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 

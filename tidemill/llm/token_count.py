@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.byte_bpe import read_ranks
+from tidemill.llm.shared import small_batches
 
 #: Nodes of the trie in one Python worker; beyond that it starts anew.
 NODES = 300_000
@@ -95,6 +96,7 @@ def counter(path: str, pattern: str) -> Counter:
 
 def count(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: its id, n_pretokens and n_tokens. path names a rank file that every executor has."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -104,5 +106,6 @@ def count(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
         for batch in batches:
             pairs = [c.count(t) for t in batch["_text"]]
             yield pd.DataFrame({"_id": batch["_id"], "n_pretokens": [p for p, _ in pairs], "n_tokens": [n for _, n in pairs]})
+        c._clear()  # a worker that waits holds no memory
 
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, f"_id {kind}, n_pretokens bigint, n_tokens bigint").withColumnRenamed("_id", id_col)
