@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.shared import mix, small_batches
+from tidemill.llm.shared import frugal, mix, small_batches
 
 #: Pre-tokens that one Python worker remembers, in a younger and an older half; a full younger half replaces the older one, so memory stays bounded.
 MEMO = 400_000
@@ -178,4 +178,4 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 yield pd.DataFrame(out)
         c.memo, c.older = {}, {}  # a worker that waits holds no memory
 
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, schema)
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(frugal(run), schema)

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.shared import as_bytes, components, kept, maybe_in, mix, partitions, run_hashes, slices, small_batches, union_find, word_hashes
+from tidemill.llm.shared import NUMBER_ROWS, as_bytes, components, frugal, kept, maybe_in, mix, partitions, run_hashes, slices, small_batches, union_find, word_hashes
 
 #: Frequent shingles whose counts are broadcast for the order; a hint only, results don't depend on it. 9 bytes each.
 FREQUENT = 400_000
@@ -251,7 +251,7 @@ def surveyed(docs: DataFrame, k: int, exact: bool = False) -> DataFrame:
                 held, total, seen = [], 0, set()
         yield from counted(held)
 
-    return docs.mapInPandas(run, "_id long, n long, fp long, fp2 long, h long, c long")
+    return docs.mapInPandas(frugal(run), "_id long, n long, fp long, fp2 long, h long, c long")
 
 
 def candidate_clusters(docs: DataFrame, counted: DataFrame, k: int, t: int) -> DataFrame:
@@ -302,7 +302,7 @@ def candidate_clusters(docs: DataFrame, counted: DataFrame, k: int, t: int) -> D
                 yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "doc": np.concatenate(owner), "n": np.concatenate(sizes), "heat": np.concatenate(heat)})
 
     hot = bool(len(top)) and int(np.max(top["level"].to_numpy())) > HOT
-    rows = texts.mapInPandas(prefixes, "token long, doc long, n int, heat byte")
+    rows = texts.mapInPandas(frugal(prefixes), "token long, doc long, n int, heat byte")
     if hot:
         parts = F.expr(f"1 << greatest(0, heat - {HOT})")
         rows = rows.select("token", F.pmod(F.xxhash64("doc"), parts).cast("int").alias("salt"), "n", "doc", (F.col("heat") > HOT).alias("hot"))
@@ -323,7 +323,7 @@ def candidate_clusters(docs: DataFrame, counted: DataFrame, k: int, t: int) -> D
             yield _edges(rest, going, True, t)[0]
 
     sorted_rows = rows.repartition(partitions(spark), *key).sortWithinPartitions(*key, "n", "doc")
-    found = kept(sorted_rows.mapInPandas(neighbours, "a long, b long, c long, least long"), "ngram-pairs")
+    found = kept(sorted_rows.mapInPandas(frugal(neighbours), "a long, b long, c long, least long"), "ngram-pairs", NUMBER_ROWS)
     large = found.filter("c = 0").select(F.col("a").alias("token"), F.col("b").alias("doc"), F.floor(F.log(F.col("least").cast("double")) / np.log(1.1)).alias("tenth"), F.col("least").alias("n"))
     # of the shingles that two documents share, those that many have aren't counted: as many as the one with fewer of these has, at most
     held = kept(large.groupBy("doc").agg(F.count("*").alias("held"), F.max("n").alias("n")), "ngram-held")
@@ -397,7 +397,7 @@ def _joined_in_clusters(clusters: DataFrame, own: DataFrame, docs: DataFrame, k:
             yield out
 
     spread = routed.repartition(partitions(docs.sparkSession), "comp", "shard").sortWithinPartitions("comp", "shard", "rep")
-    return kept(spread.mapInPandas(trees, "comp long, shard int, shards int, rep long, root long, stray boolean"), "ngram-local")
+    return kept(spread.mapInPandas(frugal(trees), "comp long, shard int, shards int, rep long, root long, stray boolean"), "ngram-local")
 
 
 def _held_against_all(local: DataFrame, blocks: DataFrame, docs: DataFrame, k: int, t: int) -> DataFrame:
@@ -420,4 +420,4 @@ def _held_against_all(local: DataFrame, blocks: DataFrame, docs: DataFrame, k: i
             if used:
                 yield pd.DataFrame(used, columns=["a", "b"])
 
-    return routed.repartition(n, "comp", "shard", "block").sortWithinPartitions("comp", "shard", "block", "rep").mapInPandas(trees, "a long, b long")
+    return routed.repartition(n, "comp", "shard", "block").sortWithinPartitions("comp", "shard", "block", "rep").mapInPandas(frugal(trees), "a long, b long")

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.shared import kept, small_batches, some_rows
+from tidemill.llm.shared import frugal, kept, small_batches, some_rows
 
 SAMPLE = 12_000
 ROWS, WIDTH, NONZERO, NEAR = 1 << 14, 64, 6, 2
@@ -204,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_c
         return pd.DataFrame({"block": [key[0]], "sums": [total.astype(np.float32).tobytes()]})
 
     # the sample is bounded, so a few tasks count it, by a hash of the ids so that reruns agree
-    parts = sample.repartition(8, "_id").sortWithinPartitions("_id").mapInPandas(sums, "block int, sums binary").groupBy("block").applyInPandas(added, "block int, sums binary")
+    parts = sample.repartition(8, "_id").sortWithinPartitions("_id").mapInPandas(frugal(sums), "block int, sums binary").groupBy("block").applyInPandas(added, "block int, sums binary")
     blocks = {r["block"]: r["sums"] for r in parts.collect()}
     total = np.concatenate([np.frombuffer(blocks[b], np.float32) for b in range(_BLOCKS)]).reshape(ROWS, WIDTH) if blocks else np.zeros_like(index)
     vectors = word_vectors(total, index)
@@ -216,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_c
         for batch in batches:
             yield pd.DataFrame({"id": batch["_id"].reset_index(drop=True), "label": batch["_label"].reset_index(drop=True), "x": [pooled(t, held.value) for t in batch["_text"]]})
 
-    got = sample.mapInPandas(pool, f"id {docs.schema[id_col].dataType.simpleString()}, label double, x array<float>").toArrow().to_pandas()
+    got = sample.mapInPandas(frugal(pool), f"id {docs.schema[id_col].dataType.simpleString()}, label double, x array<float>").toArrow().to_pandas()
     y = (got["label"].to_numpy() >= 1).astype(np.float64)
     if not len(y) or y.min() == y.max():
         return vectors, Network(float(y.mean()) if len(y) else 0.5)
@@ -242,7 +242,7 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float
     text = text_col if carry else "_text"
     rows = docs if carry else docs.select(F.col(id_col).alias("_id"), F.coalesce(~learn, F.lit(True)).alias("_held"), F.col(text_col).alias("_text"))
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "_text")
-    out = rows.mapInPandas(run, f"{head}_score double")
+    out = rows.mapInPandas(frugal(run), f"{head}_score double")
     if carry:
         return out
     return out.select(F.col("_id").alias(id_col), F.col("_held").alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))

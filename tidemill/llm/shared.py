@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: A query's execution drops its own shuffle files once its rows are written (a Spark setting).
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of texts that a Python worker holds at once, and of numbers.
+BATCH_ROWS, NUMBER_ROWS = 1_000, 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,19 +24,22 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df written as a Parquet table in the shared folder and read again: lineage ends there, and any executor can reread it."""
+def kept(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """df written as a Parquet table in the shared folder and read again: lineage ends there, and any executor can reread it.
+
+    batch_rows: rows that Python workers get at once meanwhile, where they are short.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
+    settings = {CLEANUP: "true"} | ({BATCH: str(batch_rows)} if batch_rows else {})
+    before = {k: spark.conf.get(k, None) for k in settings}
     try:
-        spark.conf.set(CLEANUP, "true")
+        for k, v in settings.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -166,7 +172,7 @@ def components(edges: DataFrame) -> DataFrame:
         if up:
             yield pd.DataFrame({"a": list(up), "b": [find(x) for x in list(up)]})
 
-    stars = kept(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInPandas(joined, "a long, b long").distinct(), "cc-stars")
+    stars = kept(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInPandas(joined, "a long, b long").distinct(), "cc-stars", NUMBER_ROWS)
     nodes = stars.select(F.col("a").alias("node"), "b").unionAll(stars.select(F.col("b").alias("node"), "b"))
     label = kept(nodes.groupBy("node").agg(F.min("b").alias("comp")), "cc-labels")
     apart = stars.filter("a <> b")
@@ -214,12 +220,30 @@ def some_rows(df: DataFrame, keys: list[str], most: int) -> DataFrame:
     return df if n <= most else df.filter(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int((1 << 30) * most / n))
 
 
-#: Rows of texts that a Python worker holds at once.
-BATCH_ROWS = 1_000
-
-
 def small_batches(spark: SparkSession) -> None:
     """Texts go to Python workers BATCH_ROWS at a time from now on in this session, so that few long ones fit beside the executor's heap."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) not in range(1, BATCH_ROWS + 1):
-        spark.conf.set(key, str(BATCH_ROWS))
+    if int(spark.conf.get(BATCH)) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set(BATCH, str(BATCH_ROWS))
+
+
+def frugal(run):
+    """run, a function for mapInPandas, which gives the memory that it freed back to the system at its task's end: Python workers wait beside the executor's heap."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
+def release() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.shared import as_bytes, kept, maybe_in, mix, partitions, run_hashes, slices, small_batches, word_hashes
+from tidemill.llm.shared import NUMBER_ROWS, as_bytes, frugal, kept, maybe_in, mix, partitions, run_hashes, slices, small_batches, word_hashes
 
 #: Words of an anchor; windows of 20 words then have about one anchor in eight words.
 ANCHOR = 7
@@ -182,7 +182,7 @@ def removed_runs(docs: DataFrame, window: int) -> DataFrame:
             if part:
                 yield pd.DataFrame(dict(zip(("a", "fp", "lo", "more", "again"), map(np.concatenate, zip(*part, strict=True)), strict=True)))
 
-    seen = named.select(F.xxhash64("_text").alias("fp"), "_text").mapInPandas(anchors, "a long, fp long, lo int, more short, again boolean")
+    seen = named.select(F.xxhash64("_text").alias("fp"), "_text").mapInPandas(frugal(anchors), "a long, fp long, lo int, more short, again boolean")
     found = kept(seen, "dedup-anchors")
     repeated = found.groupBy("a").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.max("again").alias("again"), F.count("*").alias("n")).filter("low <> high or again").select("a", (F.col("n") > HOT).alias("hot"))
     repeated = kept(repeated, "dedup-repeated")
@@ -218,7 +218,7 @@ def removed_runs(docs: DataFrame, window: int) -> DataFrame:
             if key:
                 yield pd.DataFrame({"key": key, "doc": doc, "start": start, "words": words_, "hot": hot})
 
-    sent = kept(routed.select("rep", "runs", "_text").mapInPandas(passages, "key long, doc long, start int, words binary, hot boolean"), "dedup-passages")
+    sent = kept(routed.select("rep", "runs", "_text").mapInPandas(frugal(passages), "key long, doc long, start int, words binary, hot boolean"), "dedup-passages")
 
     def shards(batches):
         import pandas as pd
@@ -245,9 +245,9 @@ def removed_runs(docs: DataFrame, window: int) -> DataFrame:
             yield done(groups)
 
     cold = sent.filter("not hot").select("key", "doc", "start", "words").repartition(n, "key").sortWithinPartitions("key")
-    first = cold.mapInPandas(shards, "doc long, lo int, hi int")
+    first = cold.mapInPandas(frugal(shards), "doc long, lo int, hi int")
     hot = sent.filter("hot").groupBy("key").agg(F.min(F.struct("doc", "start")).alias("one")).select(F.col("one.doc").alias("doc"), F.col("one.start").alias("lo"), F.col("one.start").alias("hi"))
-    firsts = kept(first.unionAll(hot).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("firsts")), "dedup-firsts")  # of one document each
+    firsts = kept(first.unionAll(hot).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("firsts")), "dedup-firsts", NUMBER_ROWS)  # of one document each
 
     # what is removed of a document, as runs of words; nothing for most
     def removed(batches):
@@ -273,7 +273,7 @@ def removed_runs(docs: DataFrame, window: int) -> DataFrame:
                 out.append(np.stack([lo, hi + 1], axis=1).astype(np.int32).ravel())
             yield pd.DataFrame({"doc": batch["rep"].reset_index(drop=True), "gone": out})
 
-    gone = candidates.join(firsts, candidates["rep"] == firsts["doc"], "left").select("rep", "runs", "firsts").mapInPandas(removed, "doc long, gone array<int>").filter("size(gone) > 0")
+    gone = candidates.join(firsts, candidates["rep"] == firsts["doc"], "left").select("rep", "runs", "firsts").mapInPandas(frugal(removed), "doc long, gone array<int>").filter("size(gone) > 0")
     names = reps.select(F.col("fp").alias("_fp"), F.col("md5").alias("_md5"), "rep")
     copies = own.join(names, (F.col("fp") == F.col("_fp")) & (F.col("md5") == F.col("_md5"))).filter("_id > rep").select(F.col("_id").alias("doc"), F.array(F.lit(0), F.lit(2147483647)).alias("gone"))
     return gone.unionAll(copies.distinct()).groupBy("doc").agg(F.max("gone").alias("gone"))
@@ -327,9 +327,9 @@ def dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: s
             yield out
 
     if not carry:
-        return rows.select("_id", "_text", "gone").mapInPandas(run, f"_id bigint, {tail}").withColumnRenamed("_id", id_col)
+        return rows.select("_id", "_text", "gone").mapInPandas(frugal(run), f"_id bigint, {tail}").withColumnRenamed("_id", id_col)
     head = "".join(f"`{c}` {types[c]}, " for c in docs.columns)
-    out = rows.select(*columns, "_id", "gone").mapInPandas(run, f"{head}_id bigint, _kept string")
+    out = rows.select(*columns, "_id", "gone").mapInPandas(frugal(run), f"{head}_id bigint, _kept string")
     return out.select(*[F.col("_kept").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -360,4 +360,4 @@ def matched(docs: DataFrame, reference: DataFrame, window: int = 20, text_col: s
             yield batch.assign(spans=spans)
 
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
-    return docs.mapInPandas(run, f"{head}spans array<int>")
+    return docs.mapInPandas(frugal(run), f"{head}spans array<int>")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.byte_bpe import read_ranks
-from tidemill.llm.shared import small_batches
+from tidemill.llm.shared import frugal, small_batches
 
 #: Nodes of the trie in one Python worker; beyond that it starts anew.
 NODES = 300_000
@@ -108,4 +108,4 @@ def count(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
             yield pd.DataFrame({"_id": batch["_id"], "n_pretokens": [p for p, _ in pairs], "n_tokens": [n for _, n in pairs]})
         c._clear()  # a worker that waits holds no memory
 
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, f"_id {kind}, n_pretokens bigint, n_tokens bigint").withColumnRenamed("_id", id_col)
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(frugal(run), f"_id {kind}, n_pretokens bigint, n_tokens bigint").withColumnRenamed("_id", id_col)

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.shared import kept, partitions, some_rows
+from tidemill.llm.shared import frugal, kept, partitions, some_rows
 
 #: Rows of a chunk, queries of a block, task groups of a block.
 CHUNK, BLOCK, PARTS = 4096, 512, 8
@@ -61,7 +61,7 @@ def chunked(rows: DataFrame, pack, name: str) -> DataFrame:
                 yield pd.DataFrame({"grp": [g["grp"].iloc[0]], "salt": [g["salt"].iloc[0]], "a": [a], "b": [b], "c": [c]})
 
     spread = salted.repartition(partitions(spark), "grp", "salt").sortWithinPartitions("grp", "salt", "_id")
-    return kept(spread.mapInPandas(run, "grp int, salt int, a binary, b binary, c binary"), f"{name}-chunks")
+    return kept(spread.mapInPandas(frugal(run), "grp int, salt int, a binary, b binary, c binary"), f"{name}-chunks")
 
 
 def best(queries: DataFrame, chunks: DataFrame, search, top: int, score_type: str) -> DataFrame:
@@ -95,7 +95,7 @@ def best(queries: DataFrame, chunks: DataFrame, search, top: int, score_type: st
             yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), done(), strict=True)))
 
     n = max(partitions(queries.sparkSession), min(blocks * PARTS, 10_000))
-    found = q.unionAll(c).repartition(n, "block", "part").sortWithinPartitions("block", "part", "kind", "id").mapInPandas(run, f"query_id long, vec_id long, score {score_type}")
+    found = q.unionAll(c).repartition(n, "block", "part").sortWithinPartitions("block", "part", "kind", "id").mapInPandas(frugal(run), f"query_id long, vec_id long, score {score_type}")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
