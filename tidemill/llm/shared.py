@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,7 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; a new temporary one only where it is unset (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tidemill-")
+        folder = tempfile.mkdtemp(prefix="tidemill-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        at = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
