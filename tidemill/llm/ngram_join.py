@@ -33,6 +33,8 @@ GROUP = 8
 HOT = 13
 #: Times that clusters of many unlike sets are clustered anew, by exact counts, before all is held against all in blocks.
 ROUNDS = 3
+#: Comparisons of a shard with a block up to which a cluster isn't clustered anew: they cost less than another round.
+ANEW = 16
 _SALT = np.uint64(0x2545F4914F6CDD1D)
 _QUARTERS = np.array([0, 1 << 62, 1 << 63, 3 << 62, (1 << 64) - 1], np.uint64)
 
@@ -348,7 +350,7 @@ def link(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id
     survey = kept(surveyed(docs, k), "ngram-survey")
     own = survey.filter("n is not null").select("_id", "n", "fp", "fp2")
     classes = own.filter("n > 0").groupBy("n", "fp", "fp2").agg(F.min("_id").alias("rep"))
-    classes = kept(classes.select(F.col("n").alias("_n"), F.col("fp").alias("_fp"), F.col("fp2").alias("_fp2"), "rep"), "ngram-classes")
+    classes = classes.select(F.col("n").alias("_n"), F.col("fp").alias("_fp"), F.col("fp2").alias("_fp2"), "rep")
     same = (F.col("n") == F.col("_n")) & (F.col("fp") == F.col("_fp")) & (F.col("fp2") == F.col("_fp2"))
     own = kept(own.join(classes, same, "left").select("_id", "n", F.when(F.col("_id").isNotNull(), F.col("rep")).alias("rep")), "ngram-own")
     clusters = candidate_clusters(docs, survey.filter("h is not null").select("h", "c"), k, threshold)
@@ -357,13 +359,13 @@ def link(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id
         local = _joined_in_clusters(clusters, own, docs, k, threshold)
         found = local.select(F.col("rep").alias("a"), F.col("root").alias("b"))
         links = found if links is None else links.unionAll(found)
-        strays = local.filter("stray").groupBy("comp").agg(F.count("*").alias("strays"), F.ceil(F.count("*") / TRIE_SETS).cast("int").alias("blocks"))
+        strays = local.filter("stray").groupBy("comp").agg(F.count("*").alias("strays"), F.ceil(F.count("*") / TRIE_SETS).cast("int").alias("blocks"), F.max("shards").alias("of"))
         strays = kept(strays, "ngram-strays")
         if strays.isEmpty():
             break
         last = again == ROUNDS
-        links = links.unionAll(_held_against_all(local, strays.filter(F.lit(last) | (F.col("blocks") == 1)), docs, k, threshold))
-        many = strays.filter("blocks > 1")
+        links = links.unionAll(_held_against_all(local, strays.filter(F.lit(last) | (F.col("blocks") * F.col("of") <= ANEW)), docs, k, threshold))
+        many = strays.filter(F.col("blocks") * F.col("of") > ANEW)
         if last or many.isEmpty():
             break
         # clusters that hold many unlike sets: their own exact counts order their shingles better
@@ -379,7 +381,7 @@ def _joined_in_clusters(clusters: DataFrame, own: DataFrame, docs: DataFrame, k:
     """comp, shard, shards, rep, root (the least id of those it is joined with in its shard), stray (its shard's pivot isn't among them, and there are other shards)."""
     member = kept(own.join(clusters, F.col("_id") == F.col("node")).select("rep", "comp", F.col("n").alias("size")).distinct(), "ngram-candidates")
     size = member.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / TRIE_SETS), F.ceil(F.sum("size") / TRIE_SHINGLES)).cast("int").alias("shards"), F.min("rep").alias("pivot"), F.count("*").alias("members"))
-    size = kept(size.filter("members > 1").drop("members"), "ngram-clusters")
+    size = size.filter("members > 1").drop("members")
     shard = F.when(F.col("shards") == 1, F.array(F.lit(0))).when(F.col("rep") == F.col("pivot"), F.sequence(F.lit(0), F.col("shards") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int")))
     member = kept(member.join(size, "comp").select("comp", "shards", "pivot", "rep", F.explode(shard).alias("shard")), "ngram-members")
     docs = maybe_in(member, "rep")(docs, F.col("_id"))
