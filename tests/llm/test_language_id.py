@@ -85,6 +85,20 @@ def test_rejects_what_no_model_knows(spark):
     assert sum(r.accepted for i, r in got.items() if i < 5000) > 190
 
 
+def test_tables_too_large_for_a_broadcast_lose_no_run(spark, monkeypatch):
+    r = random.Random(5)
+    wide = [(2**60 + i, "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(500)), "zz") for i in range(40)]  # 20,000 runs, each about once
+    docs = spark.createDataFrame(made() + wide, "doc_id long, text string, lang string").repartition(3)
+    learn = F.col("doc_id") % 3 != 1
+    want = {r.doc_id: r for r in language_id.identify(docs, learn).collect()}
+    monkeypatch.setattr(language_id, "MODEL_CELLS", 1)  # 10,000 rows of an order
+    got = {r.doc_id: r for r in language_id.identify(docs, learn).collect()}
+    assert set(got) == set(want) and len(got) == docs.count()
+    for i, w in want.items():
+        assert (got[i].held_out, got[i].lang_pred, got[i].accepted) == (w.held_out, w.lang_pred, w.accepted), i
+        assert abs(got[i].score - w.score) < 1e-4, i
+
+
 def test_nothing_to_learn(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert language_id.identify(none, F.lit(True)).count() == 0

@@ -1,11 +1,11 @@
 """Language identification by interpolated Kneser-Ney character models, one for each language.
 
 All training rows are counted, in the tasks, as runs of `order` characters; Spark sums them and derives the continuation
-counts of the lower orders. The driver turns the counts into probabilities of all languages for each run, in arrays sorted
-by the runs' hashes, and broadcasts them: MODEL_CELLS bounds their size (the most frequent runs stay, should there be more;
-the counts they rest on cover everything). The language of least cross-entropy per character wins. A temperature for the
-score, and each language's limit of cross-entropy beyond which `accepted` is false, are fitted on about CALIBRATION
-training rows.
+counts of the lower orders. Up to MODEL_CELLS, the driver turns the counts into probabilities of all languages for each run, in
+arrays sorted by the runs' hashes, and broadcasts them. Beyond that the tables stay in Spark (Wide): only frequent runs are
+broadcast, to be added up in the tasks, and all other runs of the documents are joined with the tables; no run is dropped, and both
+ways give the same numbers. The language of least cross-entropy per character wins. A temperature for the score, and each
+language's limit of cross-entropy beyond which `accepted` is false, are fitted on about CALIBRATION training rows.
 
 Letters are folded to lower case, everything else is one blank. Null texts, and those without a letter, are `und` with score
 0. So is all if nothing can be learned (no training rows). Ties go to the language first in code point order. Repeated rows are
@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,19 +146,110 @@ class Model:
         """(language or und, score, accepted) for each text."""
         if not self.langs:
             return [("und", 0.0, False)] * len(texts)
-        ce = self.cross_entropies(texts)
-        out = []
-        for row in ce:
-            if np.isnan(row[0]):
-                out.append(("und", 0.0, False))
-                continue
-            best = int(np.argmin(row))
-            p = 1 / np.exp((row[best] - row) / self.temperature).sum()
-            out.append((self.langs[best], float(p), bool(row[best] <= self.limits[best])))
-        return out
+        return decided(self.cross_entropies(texts), self.langs, self.temperature, self.limits)
+
+
+def decided(ce, langs: list[str], temperature: float, limits: np.ndarray):
+    """(language or und, score, accepted) for each row of cross-entropies."""
+    out = []
+    for row in ce:
+        if np.isnan(row[0]):
+            out.append(("und", 0.0, False))
+            continue
+        best = int(np.argmin(row))
+        p = 1 / np.exp((row[best] - row) / temperature).sum()
+        out.append((langs[best], float(p), bool(row[best] <= limits[best])))
+    return out
+
+
+def _spread(places, values, width: int, missing: float) -> np.ndarray:
+    """Rows of `width` numbers from columns of (places, values), either null where there are none."""
+    out = np.full((len(places), width), missing)
+    sizes = [0 if p is None else len(p) for p in places]
+    if sum(sizes):
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        out[row, np.concatenate([p for p in places if p is not None])] = np.concatenate([v for v in values if v is not None])
+    return out
 
 
-def _collected(df: DataFrame, most: int):
+class Wide:
+    """The same models where they are too large for a broadcast: tables by order of the runs' own shares and the contexts' weights, in sparse rows over languages."""
+
+    def __init__(self, langs: list[str], order: int):
+        self.langs, self.order = langs, order
+        self.runs: dict[int, DataFrame] = {}
+        self.weights: dict[int, DataFrame] = {}
+        self.base = np.zeros(len(langs))
+        self.often = None
+        self.temperature, self.limits = 0.1, np.full(len(langs), np.inf)
+
+    def probabilities(self, need: DataFrame, k: int) -> DataFrame:
+        """g, p (P(last character | those before) by language) for the distinct runs g of k characters in need."""
+        width, base = len(self.langs), self.base
+        df = need.join(self.runs[k], "g", "left")
+        if k > 1:
+            lower = self.probabilities(need.select(F.expr("substr(g, 2)").alias("g")).distinct(), k - 1).select(F.col("g").alias("_low"), F.col("p").alias("_p"))
+            weights = self.weights[k].select(F.col("g").alias("_context"), F.col("at").alias("_wat"), F.col("v").alias("_w"))
+            df = df.join(weights, F.expr(f"substr(g, 1, {k - 1})") == F.col("_context"), "left").join(lower, F.expr("substr(g, 2)") == F.col("_low"))
+        df = df.select("g", "at", "v", *(["_wat", "_w", "_p"] if k > 1 else []))
+
+        def run(batches):
+            import pandas as pd
+
+            for batch in batches:
+                for lo in range(0, len(batch), 1_000):
+                    part = batch.iloc[lo : lo + 1_000]
+                    rest = _spread(part["_wat"], part["_w"], width, 1.0) * np.stack(part["_p"].tolist()) if k > 1 else base
+                    yield pd.DataFrame({"g": part["g"].reset_index(drop=True), "p": list(_spread(part["at"], part["v"], width, 0.0) + rest)})
+
+        return df.mapInPandas(run, "g string, p array<double>")
+
+    def keep_often(self, counts: DataFrame, most: int) -> None:
+        """Broadcasts the exact logs of frequent runs, about `most` at best: these needn't be joined, so no key of the join is frequent."""
+        got = self.probabilities(_frequent(counts.groupBy("g").agg(F.sum("c").alias("c")), most).select("g"), self.order).toArrow().to_pandas()
+        logs = np.log(np.stack(got["p"].tolist())) if len(got) else np.zeros((0, len(self.langs)))
+        self.often = counts.sparkSession.sparkContext.broadcast(_sorted(got["g"].tolist(), logs, self.order))
+
+    def cross_entropies(self, rows: DataFrame, kind: str) -> DataFrame:
+        """_id, _held and ce (mean -log P per character by language; null for texts without letters) for each row of rows (_id of type kind, _held, _text)."""
+        order, width, often = self.order, len(self.langs), self.often
+
+        def run(batches):
+            import pandas as pd
+
+            columns = ["row", "_id", "_held", "n", "g", "part"]
+            row, out = TaskContext.get().partitionId() << 40, []
+            for batch in batches:
+                for id_, held, text in zip(batch["_id"].tolist(), batch["_held"].tolist(), batch["_text"].tolist(), strict=True):
+                    n, part = 0, np.zeros(width)
+                    for x, spans in padded([codes(text) if isinstance(text, str) else np.zeros(0, np.uint32)], order):
+                        m = len(x) - order + 1
+                        cols = [x[j : j + m] for j in range(order)]
+                        own = np.flatnonzero(_inside(len(x), spans)[order - 1 :])
+                        h, at, c = np.unique(run_codes(cols)[own], return_index=True, return_counts=True)
+                        place, hit = Model._find(often.value, h)
+                        part += c[hit] @ often.value[1][place[hit]].astype(np.float64)
+                        n += len(own)
+                        out += [(row, None, None, int(c_), "".join(map(chr, x[p : p + order].tolist())), None) for p, c_ in zip(own[at[~hit]].tolist(), c[~hit].tolist(), strict=True)]
+                    out.append((row, id_, held, n, None, part))
+                    row += 1
+                    if len(out) > 50_000:
+                        yield pd.DataFrame(out, columns=columns, dtype=object)  # no long becomes a float beside nulls
+                        out = []
+            if out:
+                yield pd.DataFrame(out, columns=columns, dtype=object)  # no long becomes a float beside nulls
+
+        # rows get their numbers here and only here, so the table is written before it is read twice
+        parts = kept(rows.select("_id", "_held", "_text").mapInPandas(frugal(run), f"row long, _id {kind}, _held boolean, n long, g string, part array<double>"), "lang-parts")
+        heads, rest = parts.filter("g is null"), parts.filter("g is not null").select("row", "n", "g")
+        logs = rest.join(self.probabilities(rest.select("g").distinct(), order), "g").select("row", F.expr("transform(p, x -> n * ln(x))").alias("part"))
+        sums = heads.select("row", "part").unionAll(logs).select("row", F.posexplode("part").alias("at", "s")).groupBy("row", "at").agg(F.sum("s").alias("s"))
+        sums = sums.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "s"))).alias("sums"))
+        ce = F.when(F.col("n") > 0, F.expr("transform(sums, x -> -x.s / n)"))
+        return heads.select("row", "_id", "_held", "n").join(sums, "row").select("_id", "_held", ce.alias("ce"))
+
+
+def _frequent(df: DataFrame, most: int) -> DataFrame:
     """The rows of df (.., c), the most frequent ones should there be over `most`."""
     levels = sorted(((r["level"], r["count"]) for r in df.groupBy(F.floor(F.log2("c")).alias("level")).count().collect()), reverse=True)
     total, least = 0, 0
@@ -166,7 +258,7 @@ def _collected(df: DataFrame, most: int):
         if total > most:
             least = 2 ** (level + 1)
             break
-    return df.filter(F.col("c") >= least).toArrow().to_pandas()
+    return df.filter(F.col("c") >= least)
 
 
 def _matrix(t, langs: list[str], value: np.ndarray, missing: float) -> tuple[np.ndarray, list[str]]:
@@ -178,8 +270,8 @@ def _matrix(t, langs: list[str], value: np.ndarray, missing: float) -> tuple[np.
     return out, grams.tolist()
 
 
-def train(rows: DataFrame, text_col: str, lang_col: str, order: int = ORDER) -> Model:
-    """Kneser-Ney models from all rows with a text and a language."""
+def train(rows: DataFrame, text_col: str, lang_col: str, order: int = ORDER) -> Model | Wide:
+    """Kneser-Ney models from all rows with a text and a language; Wide, if they are too large for a broadcast."""
     rows = rows.select(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).filter("_text is not null and _lang is not null")
 
     def counted(batches):
@@ -213,12 +305,16 @@ def train(rows: DataFrame, text_col: str, lang_col: str, order: int = ORDER) ->
     tables = {order: top}
     for k in range(order - 1, 0, -1):  # how many characters are seen before each run
         tables[k] = tables[k + 1].groupBy("lang", F.expr("substr(g, 2)").alias("g")).agg(F.count("*").alias("c"))
+    wide = Wide(langs, order) if top.count() > most else None  # no other table has more rows than this one
     for k in range(1, order + 1):
         t = tables[k]
         context = t.groupBy("lang", F.expr(f"substr(g, 1, {k - 1})").alias("g")).agg(F.sum("c").alias("c"), F.count("*").alias("types"))
         ones = {r["lang"]: (r["n1"], r["n2"]) for r in t.groupBy("lang").agg(F.count_if(F.expr("c = 1")).alias("n1"), F.count_if(F.expr("c = 2")).alias("n2")).collect()}
         discount = np.array([n1 / (n1 + 2 * n2) if n1 and n2 else 0.5 for n1, n2 in (ones.get(x, (0, 0)) for x in langs)])
-        t, context = _collected(t, most), _collected(context, most)
+        if wide:
+            _widen(wide, k, t, context, discount)
+            continue
+        t, context = t.toArrow().to_pandas(), context.toArrow().to_pandas()
         if k == 1:
             model.floor = np.log(np.full(len(langs), 1.0 / (len(set(t["g"])) + 1))).astype(np.float32)
         col = context["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(dtype=int)
@@ -232,7 +328,25 @@ def train(rows: DataFrame, text_col: str, lang_col: str, order: int = ORDER) ->
         if grams:
             columns = np.array([[ord(c) for c in g] for g in grams], np.uint32).reshape(len(grams), k).T
             model.runs[-1] = _sorted(grams, np.log(own + np.exp(model.logs(list(columns)).astype(np.float64))), k)
-    return model
+    if wide:
+        wide.keep_often(top, most)
+    return wide or model
+
+
+def _widen(wide: Wide, k: int, t: DataFrame, context: DataFrame, discount: np.ndarray) -> None:
+    """Sets wide's tables of order k from the counts (lang, g, c) of its runs and (lang, g, c, types) of their contexts."""
+    known = t.sparkSession.createDataFrame([(x, i, float(d)) for i, (x, d) in enumerate(zip(wide.langs, discount, strict=True))], "lang string, at int, d double")
+    rows = lambda df: df.groupBy("g").agg(F.collect_list(F.struct("at", "v")).alias("_l")).select("g", F.col("_l.at").alias("at"), F.col("_l.v").alias("v"))
+    context = kept(context.join(F.broadcast(known), "lang"), "lang-contexts")
+    weights = context.select("g", "at", F.expr("d * types / c").alias("v"))
+    if k == 1:
+        weight = {r["at"]: r["v"] for r in weights.collect()}  # a row for each language
+        wide.base = np.array([weight[i] for i in range(len(wide.langs))]) / (t.select("g").distinct().count() + 1)
+    else:
+        wide.weights[k] = kept(rows(weights), "lang-weights")
+    total = context.select("lang", "at", "d", F.col("g").alias("_context"), F.col("c").alias("_total"))
+    own = t.withColumn("_context", F.expr(f"substr(g, 1, {k - 1})")).join(total, ["lang", "_context"])
+    wide.runs[k] = kept(rows(own.select("g", "at", F.expr("greatest(c - d, 0D) / _total").alias("v"))), "lang-runs")
 
 
 def _sorted(grams: list[str], logs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -243,11 +357,11 @@ def _sorted(grams: list[str], logs: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return h[order], logs[order].astype(np.float32)
 
 
-def calibrate(model: Model, rows: DataFrame, text_col: str, lang_col: str) -> Model:
+def calibrate(model: Model | Wide, rows: DataFrame, text_col: str, lang_col: str) -> Model | Wide:
     """The temperature of least log loss, and for each language the cross-entropy that 99.5 % of its texts keep, with a tenth to spare."""
     if not model.langs:
         return model
-    held = rows.sparkSession.sparkContext.broadcast(model)
+    held = None if isinstance(model, Wide) else rows.sparkSession.sparkContext.broadcast(model)
     some = rows.select(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).filter("_text is not null and _lang is not null")
     some = some_rows(some, ["_text", "_lang"], CALIBRATION).groupBy(F.xxhash64("_text").alias("_h"), "_lang").agg(F.first("_text").alias("_text"))  # copies count once
 
@@ -258,7 +372,11 @@ def calibrate(model: Model, rows: DataFrame, text_col: str, lang_col: str) -> Mo
             ce = held.value.cross_entropies(batch["_text"].tolist())
             yield pd.DataFrame({"lang": batch["_lang"].reset_index(drop=True), "ce": list(ce)})
 
-    got = [r for r in some.mapInPandas(frugal(scored), "lang string, ce array<double>").collect() if r["ce"] and r["ce"][0] is not None and r["ce"][0] == r["ce"][0]]
+    if isinstance(model, Wide):
+        every = model.cross_entropies(some.select(F.col("_lang").alias("_id"), F.lit(True).alias("_held"), "_text"), "string").select(F.col("_id").alias("lang"), "ce")
+    else:
+        every = some.mapInPandas(frugal(scored), "lang string, ce array<double>")
+    got = [r for r in every.collect() if r["ce"] and r["ce"][0] is not None and r["ce"][0] == r["ce"][0]]
     if not got:
         return model
     truth = np.array([model.langs.index(r["lang"]) for r in got])
@@ -281,6 +399,21 @@ def identify(docs: DataFrame, learn: Column, order: int = ORDER, id_col: str = "
     small_batches(docs.sparkSession)
     training = docs.filter(learn)
     model = calibrate(train(training, text_col, lang_col, order), training, text_col, lang_col)
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.coalesce(~learn, F.lit(True)).alias("_held"))
+    schema = f"_id {kind}, held_out boolean, lang_pred string, score double, accepted boolean"
+    if isinstance(model, Wide):
+        langs, temperature, limits = model.langs, model.temperature, model.limits
+
+        def decide(batches):
+            import pandas as pd
+
+            for batch in batches:
+                ce = [np.full(len(langs), np.nan) if x is None else x for x in batch["ce"]]
+                lang, score, accepted = zip(*decided(ce, langs, temperature, limits), strict=True) if len(ce) else ((), (), ())
+                yield pd.DataFrame({"_id": batch["_id"], "held_out": batch["_held"], "lang_pred": lang, "score": score, "accepted": accepted})
+
+        return model.cross_entropies(rows, kind).mapInPandas(decide, schema).withColumnRenamed("_id", id_col)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -292,6 +425,4 @@ def identify(docs: DataFrame, learn: Column, order: int = ORDER, id_col: str = "
                 lang, score, accepted = zip(*held.value.predict(part["_text"].tolist()), strict=True)
                 yield pd.DataFrame({"_id": part["_id"].reset_index(drop=True), "held_out": part["_held"].reset_index(drop=True), "lang_pred": lang, "score": score, "accepted": accepted})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.coalesce(~learn, F.lit(True)).alias("_held"))
-    return rows.mapInPandas(frugal(run), f"_id {kind}, held_out boolean, lang_pred string, score double, accepted boolean").withColumnRenamed("_id", id_col)
+    return rows.mapInPandas(frugal(run), schema).withColumnRenamed("_id", id_col)
