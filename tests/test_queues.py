@@ -87,6 +87,14 @@ def test_duplicates(spark):
     assert produce.send(free, SPEC, messages(spark, [(1, 0, None, "x")]), produce.SendOptions(), NOW)[0].count() == 2
 
 
+def test_failed_batches_hold_no_keys(spark):
+    out = lambda rows, **o: [r.outcome for r in produce.send(empty(spark), SPEC, messages(spark, [(i + 1, k, None, "x") for i, k in enumerate(rows)]), produce.SendOptions(batch_size=2, partial=produce.AS_MANY, **o), NOW, bad=F.col("ord") == 1)[1].orderBy("ord").collect()]
+    # batch 1 is bad; 2 repeats its key and is stored; 3 clashes with 2, 4 only with 3, 5 with 4, 6 with itself, 7 only with 6
+    keys = [1, 2, 1, 3, 3, 4, 4, 5, 5, 6, 7, 7, 7, 8]
+    assert out(keys)[::2] == out(keys)[1::2] == ["failed", "stored", "failed", "stored", "failed", "failed", "stored"]
+    assert out([1, 2, 1, 3, 2, 3], dedup=produce.IGNORE) == ["failed", "failed", "stored", "stored", "stored", "duplicate"]
+
+
 def test_greedy_over_several_fields():
     rows = [{"a": 1, "b": 1}, {"a": 1, "b": 2}, {"a": 3, "b": 2}, {"a": None, "b": None}]
     assert produce.greedy(rows, ["a", "b"], {"a": set(), "b": set()}) == [False, True, False, False]

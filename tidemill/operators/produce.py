@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions import ids
+from tidemill.functions.steps import step
 from tidemill.functions.values import at, micros, plus
 from tidemill.operators import states
 from tidemill.plans.spec import FIELD_TYPES, MAX_META_TEXT, SHARDS, QueueSpec, Unique, check, check_worker, resolve
@@ -77,20 +78,56 @@ def too_long(spec: QueueSpec) -> Column:
     return F.coalesce(F.greatest(F.lit(False), *[F.length(f.column) > MAX_META_TEXT for f in spec.fields if f.type == "string"], F.lit(False)), F.lit(False))
 
 
-def without_duplicates(rows: DataFrame, queue: DataFrame, spec: QueueSpec) -> DataFrame:
-    """rows with `duplicate`, under one unique field: the key is held by a row of its scope, or by an earlier message. Null keys never collide.
+def unique_fields(spec: QueueSpec) -> list:
+    return [f for f in spec.fields if f.unique in (Unique.ALL_LIVE, Unique.UNTOUCHED)]
 
-    The earliest row of a key is found with its key alone, joined against the keys that are held; all by shuffles on the key.
+
+def _marked(rows: DataFrame, queue: DataFrame, spec: QueueSpec, within: list[str], apart: Column | None = None) -> DataFrame:
+    """rows with `duplicate`: a key is held by a row of its scope, or by an earlier message with the same values of `within`. Null keys never collide.
+
+    apart marks messages that hold no keys. The earliest row of a key is found with its key alone, joined against the keys that are held; all by shuffles on the key.
     """
-    unique = [f for f in spec.fields if f.unique in (Unique.ALL_LIVE, Unique.UNTOUCHED)]
-    if not unique:
-        return rows.withColumn("duplicate", F.lit(False))
-    check(len(unique) == 1, "several unique fields: use greedy()")
-    key = unique[0].column
-    held = queue.filter(scope(unique[0].unique) & F.col(key).isNotNull()).select(F.col(key).alias("_key")).distinct()
-    first = rows.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min("ord").alias("_first"))
-    marked = rows.join(first, F.col(key) == F.col("_k"), "left").join(held, F.col(key) == F.col("_key"), "left")
-    return marked.withColumn("duplicate", F.col("_key").isNotNull() | (F.col("ord") > F.col("_first"))).withColumn("duplicate", F.coalesce("duplicate", F.lit(False))).select(*rows.columns, "duplicate")
+    out, duplicate = rows, F.lit(False)
+    for i, f in enumerate(unique_fields(spec)):
+        key, own = F.col(f.column), [*within, f.column]
+        held = queue.filter(scope(f.unique) & key.isNotNull()).select(key.alias(f"_key{i}")).distinct()
+        first = rows.filter(key.isNotNull() & ~(apart if apart is not None else F.lit(False))).groupBy(*[F.col(c).alias(f"_{i}_{c}") for c in own]).agg(F.min("ord").alias(f"_first{i}"))
+        out = out.join(first, [F.col(c) == F.col(f"_{i}_{c}") for c in own], "left").join(held, key == F.col(f"_key{i}"), "left")
+        duplicate = duplicate | F.col(f"_key{i}").isNotNull() | F.coalesce(F.col("ord") > F.col(f"_first{i}"), F.lit(False))
+    return out.withColumn("duplicate", duplicate).select(*rows.columns, "duplicate")
+
+
+def without_duplicates(rows: DataFrame, queue: DataFrame, spec: QueueSpec, apart: Column | None = None) -> DataFrame:
+    """rows with `duplicate`, under one unique field: the key is held by a row of its scope, or by an earlier message that apart doesn't mark."""
+    check(len(unique_fields(spec)) <= 1, "several unique fields: use greedy()")
+    return _marked(rows, queue, spec, [], apart)
+
+
+def claims(rows: DataFrame, spec: QueueSpec, unit: str) -> DataFrame:
+    """unit, field, key: the keys that rows would hold, for messages (unit ord) or batches (unit batch)."""
+    each = []
+    for i, f in enumerate(unique_fields(spec)):
+        key = F.col(f.column) + F.lit(0.0) if FIELD_TYPES[f.type] in ("double", "float") else F.col(f.column)  # -0.0 is 0.0
+        each.append(F.struct(F.lit(i).alias("field"), key.cast("string").alias("key")))
+    return rows.select(F.col(unit).alias("unit"), F.explode(F.array(*each)).alias("_c")).select("unit", "_c.field", "_c.key").filter("key is not null").distinct()
+
+
+def losers(wanted: DataFrame) -> DataFrame:
+    """unit: those that find a key held when all units of wanted (unit, field, key) are stored in turn. Only stored units hold keys.
+
+    In rounds of joins: units that are the earliest open ones for all their keys are stored, open units that share a key with them
+    lose, both are settled. The earliest open unit always is.
+    """
+    lost = wanted.sparkSession.createDataFrame([], "unit long")
+    left = step(wanted.select(F.col("unit").cast("long").alias("unit"), "field", "key"), "send-claims")
+    while not left.isEmpty():
+        first = left.groupBy("field", "key").agg(F.min("unit").alias("first"))
+        stored = step(left.join(first, ["field", "key"]).groupBy("unit").agg(F.max(F.col("unit") > F.col("first")).alias("behind")).filter("not behind").select("unit"), "send-stored")
+        taken = left.join(stored, "unit", "left_semi").select("field", "key").distinct()
+        beaten = step(left.join(stored, "unit", "left_anti").join(taken, ["field", "key"], "left_semi").select("unit").distinct(), "send-beaten")
+        lost = lost.unionAll(beaten)
+        left = step(left.join(stored.unionAll(beaten), "unit", "left_anti"), "send-claims")
+    return lost
 
 
 def greedy(batch: list[dict], unique: list[str], held: dict[str, set]) -> list[bool]:
@@ -123,17 +160,28 @@ def send(queue: DataFrame, spec: QueueSpec, messages: DataFrame, options: SendOp
     """(the queue with what was stored, a row for each message: ord, batch, outcome of stored, duplicate, failed or not_tried, id of the stored).
 
     bad marks messages whose insert fails; over-long texts fail too. On duplicates FAIL fails a batch, if the key is held or came in an earlier
-    message; IGNORE leaves the message out.
+    message; IGNORE leaves the message out. A failed batch is rolled back, so its messages hold no keys against later batches.
     """
-    rows = without_duplicates(new_rows(messages, spec, options, now, bucket, next_counter), queue, spec)
+    rows = new_rows(messages, spec, options, now, bucket, next_counter)
     if bad is not None:
         marks = messages.select(F.col("ord").cast("long").alias("_ord"), F.coalesce(bad, F.lit(False)).alias("_bad"))
         rows = rows.join(marks, F.col("ord") == F.col("_ord")).drop("_ord")
     else:
         rows = rows.withColumn("_bad", F.lit(False))
-    fails = F.col("_bad") | too_long(spec) | (F.col("duplicate") if options.dedup == FAIL else F.lit(False))
-    rows = rows.withColumn("batch", batch_of(F.col("ord"), options.batch_size)).withColumn("_fails", fails)
-    batches = stored_batches(rows.groupBy("batch").agg(F.max("_fails").alias("failed")), options.partial).select(F.col("batch").alias("_b"), F.col("outcome").alias("_outcome"))
+    rows = rows.withColumn("batch", batch_of(F.col("ord"), options.batch_size)).withColumn("_fails", F.col("_bad") | too_long(spec))
+    if options.dedup == IGNORE:
+        broken = rows.groupBy("batch").agg(F.max("_fails").alias("failed"))
+        rows = without_duplicates(rows.join(broken.withColumnRenamed("failed", "_apart"), "batch"), queue, spec, F.col("_apart"))
+    else:
+        # the other modes store nothing after the first failure, until which every earlier message is stored
+        rows = _marked(rows, queue, spec, ["batch"] if options.partial == AS_MANY else [])
+        rows = rows.withColumn("_fails", F.col("_fails") | F.col("duplicate"))
+        broken = rows.groupBy("batch").agg(F.max("_fails").alias("failed"))
+        if options.partial == AS_MANY and unique_fields(spec):
+            whole = broken.filter("not failed").select("batch")
+            beaten = losers(claims(rows.join(whole, "batch", "left_semi"), spec, "batch")).select(F.col("unit").alias("batch"), F.lit(True).alias("_beaten"))
+            broken = broken.join(beaten, "batch", "left").select("batch", (F.col("failed") | F.col("_beaten").isNotNull()).alias("failed"))
+    batches = stored_batches(broken, options.partial).select(F.col("batch").alias("_b"), F.col("outcome").alias("_outcome"))
     rows = rows.join(batches, F.col("batch") == F.col("_b")).withColumn("outcome", F.when((F.col("_outcome") == "stored") & F.col("duplicate"), "duplicate").otherwise(F.col("_outcome")))
     stored = rows.filter("outcome = 'stored'").select(*spec.schema.names)
     results = rows.select("ord", "batch", "outcome", F.when(F.col("outcome") == "stored", F.col("id")).alias("id"))
