@@ -100,6 +100,15 @@ def test_greedy_over_several_fields():
     assert produce.greedy(rows, ["a", "b"], {"a": set(), "b": set()}) == [False, True, False, False]
 
 
+def test_send_over_several_fields(spark):
+    spec = QueueSpec("pairs", fields=(MetaField("a", "long", Unique.ALL_LIVE), MetaField("b", "long", Unique.ALL_LIVE)))
+    rows = [(1, 1, 1), (2, 1, 2), (3, 3, 2), (4, None, None), (5, 3, 4), (6, 5, 4)]
+    m = spark.createDataFrame([(*r, "x") for r in rows], "ord long, meta_a long, meta_b long, data string")
+    want = produce.greedy([{"a": a, "b": b} for _, a, b in rows], ["a", "b"], {"a": set(), "b": set()})
+    got = produce.send(empty(spark, spec), spec, m, produce.SendOptions(dedup=produce.IGNORE), NOW)[1].orderBy("ord").collect()
+    assert [r.outcome == "duplicate" for r in got] == want == [False, True, False, False, True, False]
+
+
 def test_claims_are_disjoint_and_come_back(spark):
     queue = sent(spark, 10, now=NOW)
     later = NOW + timedelta(seconds=1)

@@ -98,9 +98,13 @@ def _marked(rows: DataFrame, queue: DataFrame, spec: QueueSpec, within: list[str
 
 
 def without_duplicates(rows: DataFrame, queue: DataFrame, spec: QueueSpec, apart: Column | None = None) -> DataFrame:
-    """rows with `duplicate`, under one unique field: the key is held by a row of its scope, or by an earlier message that apart doesn't mark."""
-    check(len(unique_fields(spec)) <= 1, "several unique fields: use greedy()")
-    return _marked(rows, queue, spec, [], apart)
+    """rows with `duplicate`: a key is held by a row of its scope, or by an earlier stored message that apart doesn't mark. Several unique fields go in rounds, see losers."""
+    if len(unique_fields(spec)) <= 1:
+        return _marked(rows, queue, spec, [], apart)
+    marked = _marked(rows, queue, spec, [], F.lit(True))  # only what the queue holds
+    free = marked.filter(~F.col("duplicate") & ~(apart if apart is not None else F.lit(False)))
+    lost = losers(claims(free, spec, "ord")).select(F.col("unit").alias("_lost"))
+    return marked.join(lost, F.col("ord") == F.col("_lost"), "left").withColumn("duplicate", F.col("duplicate") | F.col("_lost").isNotNull()).select(*rows.columns, "duplicate")
 
 
 def claims(rows: DataFrame, spec: QueueSpec, unit: str) -> DataFrame:
