@@ -1,9 +1,12 @@
 """Token counts under a unigram vocabulary, by dynamic programming shared along a trie of pre-tokens.
 
-A token of rank r has the score -ln((r + 1) H), H the harmonic number of the vocabulary (a Zipf law over ranks), in whole
-micro-nats so that sums are exact. A pre-token's best segmentation has the greatest sum of scores; of equals the one with
-fewest tokens counts. The forward scores at a node of the trie, best over all tokens that end there, depend on the prefix alone,
-so they are computed once for all pre-tokens below it; a pre-token's node stores its count.
+The vocabulary and its scores are given, not learned: token r of a public rank file scores -ln((r + 1) H), H the harmonic number
+of the vocabulary (a Zipf law over ranks), in whole micro-nats so that sums are exact. A pre-token's best segmentation has the
+greatest sum of scores; of equals the one with fewest tokens counts.
+
+Distinct pre-tokens go to one trie in each Python worker. The forward score of a node, best over all tokens that end there,
+depends on its prefix alone, so it is computed once for all pre-tokens below it; the node where a pre-token ends gives its count.
+Which tokens end at a node is read off an automaton over the vocabulary, whose state a node keeps: no length is tried in vain.
 
 The vocabulary holds all single bytes, so every text has a segmentation. Null and empty texts have 0 tokens. Repeated rows are counted
 each by itself; texts are taken whole; other columns don't matter. A map over rows, without a shuffle.
@@ -13,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import math
+from collections import deque
 
 import regex
 from pyspark.sql import DataFrame
@@ -21,8 +25,12 @@ from pyspark.sql import functions as F
 from tidemill.llm.byte_bpe import read_ranks
 from tidemill.llm.shared import frugal, small_batches
 
-#: Nodes of the trie in one Python worker; beyond that it starts anew.
-NODES = 300_000
+#: Nodes of the trie in one Python worker; beyond that it starts anew. Bytes of one pre-token that become nodes; the rest is computed without.
+NODES, DEEP = 500_000, 1_000
+#: Pre-tokens whose counts a worker remembers, in a younger and an older half, apart from the trie.
+MEMO = 400_000
+#: A segmentation is one number: its score times UNIT, less its tokens. The greater number is the better one.
+UNIT = 1 << 40
 
 
 def zipf_scores(ranks: dict[bytes, int]) -> dict[bytes, int]:
@@ -30,62 +38,117 @@ def zipf_scores(ranks: dict[bytes, int]) -> dict[bytes, int]:
     return {t: -round(1e6 * math.log((r + 1) * h)) for t, r in ranks.items()}
 
 
-class Counter:
-    """Counts tokens; keeps the trie of the pre-tokens it has met.
+class Endings:
+    """Which tokens end at each place of a byte string: the suffix-linked trie of the vocabulary. ends: for each state (length, value) of the tokens that end in it."""
+
+    def __init__(self, scores: dict[bytes, int]):
+        self.next: dict[int, int] = {}
+        ends: list[list] = [[]]
+        for token in sorted(scores):
+            state = 0
+            for byte in token:
+                key = state << 8 | byte
+                child = self.next.get(key)
+                if child is None:
+                    child = self.next[key] = len(ends)
+                    ends.append([])
+                state = child
+            ends[state].append((len(token), scores[token] * UNIT - 1))
+        self.link = [0] * len(ends)
+        children: list[list[tuple[int, int]]] = [[] for _ in ends]
+        for key, child in self.next.items():
+            children[key >> 8].append((key & 255, child))
+        queue = deque([0])
+        while queue:  # a state after all shorter ones
+            state = queue.popleft()
+            for byte, child in children[state]:
+                if state:
+                    self.link[child] = self.step(self.link[state], byte)
+                    ends[child] += ends[self.link[child]]
+                queue.append(child)
+        self.ends = [tuple(e) for e in ends]
+        self.longest = max(map(len, scores), default=1)
+
+    def step(self, state: int, byte: int) -> int:
+        while (to := self.next.get(state << 8 | byte)) is None:
+            if not state:
+                return 0
+            state = self.link[state]
+        return to
 
-    A node is (child by byte, best score, tokens of it); the path from the root is its prefix.
-    """
+
+class Counter:
+    """Counts tokens; keeps the trie of the pre-tokens it has met, by node: child by byte, best value, state."""
 
     def __init__(self, scores: dict[bytes, int], pattern: str):
         self.find_all = regex.compile(pattern).findall
-        self.scores = scores
-        self.lengths: dict[int, list[int]] = {}  # of the tokens that end in a byte
-        for t in scores:
-            self.lengths.setdefault(t[-1], []).append(len(t))
-        self.lengths = {b: sorted(set(n)) for b, n in self.lengths.items()}
-        self._clear()
-
-    def _clear(self) -> None:
-        self.root: list = [{}, 0, 0]
-        self.nodes = 0
+        self.endings = Endings(scores)
+        self.clear()
+
+    def clear(self) -> None:
+        self._plant()
         self.known: dict[str, int] = {}
+        self.older: dict[str, int] = {}
+
+    def _plant(self) -> None:
+        self.children: dict[int, int] = {}
+        self.best, self.state = [0], [0]
+
+    @property
+    def nodes(self) -> int:
+        return len(self.best) - 1
 
     def insert(self, piece: bytes) -> int:
         """Walks piece down the trie, adds what is missing with its forward scores, and returns its number of tokens."""
-        node, path = self.root, [self.root]
-        scores, lengths = self.scores, self.lengths
-        for i, byte in enumerate(piece):
-            child = node[0].get(byte)
+        children, best, states = self.children, self.best, self.state
+        node, values = 0, [0]  # the best value of each prefix
+        for byte in piece:
+            child = children.get(node << 8 | byte)
             if child is None:
-                best, least = None, 0
-                for n in lengths[byte]:
-                    if n > i + 1:
-                        break
-                    if (s := scores.get(piece[i + 1 - n : i + 1])) is not None:
-                        before = path[i + 1 - n]
-                        total, count = before[1] + s, before[2] + 1
-                        if best is None or total > best or (total == best and count < least):
-                            best, least = total, count
-                child = node[0][byte] = [{}, best, least]
-                self.nodes += 1
+                break
+            values.append(best[child])
             node = child
-            path.append(node)
-        return node[2]
+        rest = piece[len(values) - 1 :]
+        if rest:
+            follow, link, ends, longest = self.endings.next.get, self.endings.link, self.endings.ends, self.endings.longest
+            state, room = states[node], DEEP - len(values)
+            for i, byte in enumerate(rest):
+                while (to := follow(state << 8 | byte)) is None and state:
+                    state = link[state]
+                state = to or 0
+                value = None
+                for n, v in ends[state]:
+                    v += values[-n]
+                    if value is None or v > value:
+                        value = v
+                values.append(value)
+                if i <= room:
+                    child = children[node << 8 | byte] = len(best)
+                    best.append(value)
+                    states.append(state)
+                    node = child
+                elif len(values) > 100_000:
+                    del values[:-longest]
+        return -values[-1] & (UNIT - 1)
+
+    def learn(self, tokens: set[str]) -> None:
+        if len(self.known) + len(tokens) > MEMO // 2:
+            self.known, self.older = {}, self.known
+        if self.nodes > NODES:
+            self._plant()
+        known, older = self.known, self.older
+        for t in tokens:
+            if t not in known:
+                known[t] = older[t] if t in older else self.insert(t.encode("utf-8", "surrogatepass"))
 
     def count(self, text: str | None) -> tuple[int, int]:
         """Numbers of pre-tokens and of tokens."""
         tokens = self.find_all(text) if isinstance(text, str) else []
-        known = self.known
         try:
-            return len(tokens), sum([known[t] for t in tokens])
+            return len(tokens), sum(map(self.known.__getitem__, tokens))
         except KeyError:
-            if self.nodes > NODES:
-                self._clear()
-                known = self.known
-            for t in set(tokens):
-                if t not in known:
-                    known[t] = self.insert(t.encode("utf-8", "surrogatepass"))
-            return len(tokens), sum([known[t] for t in tokens])
+            self.learn(set(tokens))
+            return len(tokens), sum(map(self.known.__getitem__, tokens))
 
 
 @functools.lru_cache(maxsize=2)
@@ -106,6 +169,6 @@ def count(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
         for batch in batches:
             pairs = [c.count(t) for t in batch["_text"]]
             yield pd.DataFrame({"_id": batch["_id"], "n_pretokens": [p for p, _ in pairs], "n_tokens": [n for _, n in pairs]})
-        c._clear()  # a worker that waits holds no memory
+        c.clear()  # a worker that waits holds no memory
 
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(frugal(run), f"_id {kind}, n_pretokens bigint, n_tokens bigint").withColumnRenamed("_id", id_col)
