@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own = threading.local()
+_local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,10 +22,12 @@ def shared_dir(spark: SparkSession) -> str:
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="tidemill-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        at = "file://" + folder
-        spark.conf.set("spark.checkpoint.dir", at)
+        app = spark.sparkContext.applicationId
+        if app not in _local:  # the setting itself can't be changed any more
+            folder = tempfile.mkdtemp(prefix="tidemill-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _local[app] = "file://" + folder
+        at = _local[app]
     return at.rstrip("/")
 
 
