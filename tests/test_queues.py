@@ -95,20 +95,112 @@ def test_failed_batches_hold_no_keys(spark):
     assert out([1, 2, 1, 3, 2, 3], dedup=produce.IGNORE) == ["failed", "failed", "stored", "stored", "stored", "duplicate"]
 
 
-def test_greedy_over_several_fields():
-    rows = [{"a": 1, "b": 1}, {"a": 1, "b": 2}, {"a": 3, "b": 2}, {"a": None, "b": None}]
-    assert produce.greedy(rows, ["a", "b"], {"a": set(), "b": set()}) == [False, True, False, False]
+def greedy(rows, held=None):
+    """Which rows of values, one for each unique field, find one held when they are stored in turn: only stored rows hold values."""
+    held, out = [set() for _ in rows[0]] if held is None else held, []
+    for row in rows:
+        clash = any(v is not None and v in h for v, h in zip(row, held, strict=True))
+        out.append(clash)
+        if not clash:
+            for v, h in zip(row, held, strict=True):
+                h.add(v)
+    return out
 
 
 def test_send_over_several_fields(spark):
     spec = QueueSpec("pairs", fields=(MetaField("a", "long", Unique.ALL_LIVE), MetaField("b", "long", Unique.ALL_LIVE)))
     rows = [(1, 1, 1), (2, 1, 2), (3, 3, 2), (4, None, None), (5, 3, 4), (6, 5, 4)]
     m = spark.createDataFrame([(*r, "x") for r in rows], "ord long, meta_a long, meta_b long, data string")
-    want = produce.greedy([{"a": a, "b": b} for _, a, b in rows], ["a", "b"], {"a": set(), "b": set()})
+    want = greedy([(a, b) for _, a, b in rows])
     got = produce.send(empty(spark, spec), spec, m, produce.SendOptions(dedup=produce.IGNORE), NOW)[1].orderBy("ord").collect()
     assert [r.outcome == "duplicate" for r in got] == want == [False, True, False, False, True, False]
 
 
+def test_send_says_why(spark):
+    m = messages(spark, [(1, 1, None, "x"), (2, 2, "y" * 9000, "x"), (3, 1, None, "x"), (4, 4, None, "x"), (5, 5, None, "x"), (6, 6, None, "x")])
+    _, results = produce.send(empty(spark), SPEC, m, produce.SendOptions(batch_size=1, partial=produce.AS_MANY), NOW, bad=F.col("ord") == 5)
+    assert {r.ord: r.error for r in results.collect()} == {1: None, 2: "text too long", 3: "duplicate key", 4: None, 5: "insert failed", 6: None}
+    assert sorted(r.ord for r in produce.to_send_again(results, m).collect()) == [2, 3, 5] and produce.only(results, "stored").count() == 3
+    with pytest.raises(RuntimeError, match="text too long"):
+        produce.raise_if_failed(results)
+    produce.raise_if_failed(produce.only(results, "stored"))
+    _, all_failed = produce.send(empty(spark), SPEC, m, produce.SendOptions(batch_size=1, partial=produce.PROHIBITED), NOW)
+    assert {r.ord: r.error for r in all_failed.collect()}[6] == "another batch failed"
+
+
+def test_messages_without_keys_or_order(spark):
+    m = spark.createDataFrame([(None, f"d{i}") for i in range(40)] + [(7, "a"), (7, "b")], "meta_job_key long, data string")
+    m = produce.numbered(m, [F.asc("data")])
+    assert sorted(r.ord for r in m.collect()) == list(range(1, 43))
+    _, results = produce.send(empty(spark), SPEC, m, produce.SendOptions(dedup=produce.IGNORE), NOW)
+    assert results.filter("outcome = 'stored'").count() == 41 and [r.ord for r in results.filter("outcome = 'duplicate'").collect()] == [2]
+
+
+def test_tables_follow_the_spec(spark):
+    from tidemill.plans import tables
+
+    run = lambda statements: tables.execute(spark, statements)
+    small = QueueSpec("orders", fields=(MetaField("a", "int"),), dlq=Companion())
+    large = QueueSpec("orders", fields=(MetaField("a", "int"), MetaField("b", "string")), dlq=Companion(), archive=Companion())
+    spark.sql("create table q_other (x int) using parquet")
+    assert run(tables.to_create(spark, [small])) == 2 and tables.to_create(spark, [small]) == []
+    assert run(tables.to_create(spark, [large])) == 3 and tables.to_create(spark, [large]) == []
+    assert is_queue_table(spark.table("q_orders_arc").schema) and "meta_b" in spark.table("q_orders_dlq").columns
+    assert run(tables.to_rename(spark, [large], lambda q: "bills")) == 3 and tables.to_rename(spark, [large], lambda q: "bills") == []
+    assert sorted(t.name for t in spark.catalog.listTables() if t.name.startswith("q_")) == ["q_bills", "q_bills_arc", "q_bills_dlq", "q_other"]
+    gone = tables.to_delete(spark, [QueueSpec("bills", dlq=Companion(), archive=Companion()), QueueSpec("other")])
+    assert gone[-1].endswith("`q_bills`") and run(gone) == 3  # a table that is no queue stays
+    spark.sql("drop table q_other")
+    with pytest.raises(ValueError):
+        tables.to_delete(spark, [small.dlq_spec()])
+
+
+def test_steps_are_deleted(spark, tmp_path, monkeypatch):
+    import os
+
+    from tidemill.functions import steps
+
+    steps.clean(spark)
+    monkeypatch.setattr(steps, "shared_dir", lambda spark: f"file://{tmp_path}")
+    with steps.scratch(spark) as last:
+        one = steps.step(spark.range(5), "one")
+        two = last(steps.step(one.filter("id > 1"), "two"))
+    assert [x.split("-")[0] for x in os.listdir(tmp_path)] == ["two"] and two.count() == 3
+    assert sorted(r.n for r in steps.in_order(spark.range(50).repartition(5), [F.desc("id")], "n", "order").collect()) == list(range(1, 51))
+    steps.clean(spark)
+    assert os.listdir(tmp_path) == []
+
+
+def test_a_cluster_must_name_its_folder(monkeypatch):
+    from types import SimpleNamespace as N
+
+    from tidemill.functions import steps
+
+    session = lambda master, at: N(conf=N(get=lambda *a: at), sparkContext=N(master=master, applicationId="x"))
+    assert steps.shared_dir(session("spark://host", "hdfs://h/dir/")) == "hdfs://h/dir"
+    own = steps.shared_dir(session("local[2]", None))
+    assert own.startswith("file:///") and steps.shared_dir(session("local[2]", None)) == own
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        steps.shared_dir(session("spark://host", None))
+
+
+def test_background(spark):
+    from tidemill.functions.session import in_background
+
+    assert in_background(lambda n: sent(spark, n).count(), 3).result(60) == 3
+
+
+def test_nodes(spark):
+    rows, shards = cluster.bootstrap(spark, {"a": 5, None: 5}, None, NOW, 1)
+    made = {r.id: r.identifiers_bucket for r in rows.collect()}
+    assert len(made) == 2 and set(made.values()) == {5, 6} and len(next(n for n in made if n != "a")) == 16
+    assert shards.count() == 1024 and cluster.bootstrap(spark, {"a": 5}, shards, NOW, 2)[1].count() == 1024
+    none = shards.withColumn("consumer", F.lit(None).cast("string"))
+    queue = sent(spark, 3).withColumn("node", F.lit("a"))
+    after, got = cluster.receive_routed(queue, none, SPEC, NOW + timedelta(seconds=1), 5)
+    assert got.count() == 0 and after.count() == 3
+
+
 def test_claims_are_disjoint_and_come_back(spark):
     queue = sent(spark, 10, now=NOW)
     later = NOW + timedelta(seconds=1)
@@ -134,7 +226,10 @@ def test_sweep_to_dlq_and_retention(spark):
     old = dlq.withColumn("id", F.col("meta_original_id"))
     assert consume.expired(old, later + timedelta(hours=2), timedelta(hours=1), 10_000).count() == 70
     assert consume.surplus(old, 50, 15).count() == 15 and consume.surplus(old, 100, 15).count() == 0
-    assert not consume.sweep_wanted(0, 0.0) and consume.sweep_wanted(1, 1.0)
+    dice = spark.range(4000).select(*[consume.sweeps(p, 5).alias(n) for p, n in ((0, "never"), (1, "always"), (0.25, "some"))]).agg(*[F.count_if(n).alias(n) for n in ("never", "always", "some")]).first()
+    assert dice.never == 0 and dice.always == 4000 and 850 < dice.some < 1150
+    with pytest.raises(ValueError):
+        consume.sweeps(1.5)
 
 
 def test_mutations(spark):

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable
+from concurrent.futures import Executor, Future, ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 
@@ -37,3 +39,16 @@ def ensure_package(spark: SparkSession) -> None:
                     full = os.path.join(folder, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
     spark.sparkContext.addPyFile(path)
+
+
+_background: list[ThreadPoolExecutor] = []
+
+
+def in_background(operation: Callable, *args, executors: tuple[Executor | None, ...] = (), **options) -> Future:
+    """The asynchronous form of an operation with its action, such as a send that is written: submitted to the first executor given (of the call, of the sender, ..), else to one of the application. Its jobs run beside those of other threads."""
+    chosen = next((e for e in executors if e is not None), None)
+    if chosen is None:
+        if not _background:
+            _background.append(ThreadPoolExecutor(4, thread_name_prefix="tidemill"))
+        chosen = _background[0]
+    return chosen.submit(operation, *args, **options)

@@ -7,12 +7,15 @@ A shard is stable (producer = consumer, no next) or migrating (producer = next,
 from __future__ import annotations
 
 import random
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.ids import BUCKETS
-from tidemill.plans.spec import SHARDS, check
+from tidemill.functions.values import at, random_text
+from tidemill.operators import consume, mutate
+from tidemill.plans.spec import SHARDS, QueueSpec, check
 
 
 def distinct_buckets(buckets: dict[str, int]) -> dict[str, int]:
@@ -62,6 +65,62 @@ def consumers(shards: DataFrame) -> DataFrame:
     return shards.filter("consumer is not null").groupBy(F.col("consumer").alias("node")).agg(F.sort_array(F.collect_list("shard")).alias("shards"))  # SHARDS items at most
 
 
+def choose_consumer(shards: DataFrame, choose=min) -> tuple[str, list[int]] | None:
+    """A node that consumes and its shards; None if there is none. choose: picks one of the sorted names, say random.Random(seed).choice. SHARDS rows at most go to the driver."""
+    found = {r["node"]: r["shards"] for r in consumers(shards).collect()}
+    return (node := choose(sorted(found)), found[node]) if found else None
+
+
+def receive_routed(queue: DataFrame, shards: DataFrame, spec: QueueSpec, now: datetime, limit: int = 1, choose=min, **options) -> tuple[DataFrame, DataFrame]:
+    """consume.receive of one node's shards: (all nodes' rows with the claims, the messages claimed with their node). queue: the rows of all nodes, with `node`. No consumer, no messages."""
+    chosen = choose_consumer(shards, choose)
+    node, own = chosen if chosen else (None, [])
+    here = F.col("node").eqNullSafe(F.lit(node)) if chosen else F.lit(False)
+    after, messages = consume.receive(queue.filter(here).drop("node"), spec, now, limit, shards=own or None, **options)
+    named = F.lit(node).cast("string").alias("node")
+    return queue.filter(~here).unionByName(after.withColumn("node", named)), messages.withColumn("node", named)
+
+
+def mutate_ids_routed(queue: DataFrame, shards: DataFrame, mutations: list, ids: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:
+    """mutate.by_ids over nodes: each id (ord, id, shard) goes to the node that consumes its shard; ids that none consumes are not found. queue: the rows of all nodes, with `node`."""
+    changes = mutate.changes(mutations, now)
+    asked = route_ids(ids.select("id", "shard").distinct(), shards).select(F.col("id").alias("_id"), F.col("shard").alias("_shard"), F.col("node").alias("_node"))
+    same = (F.col("id") == F.col("_id")) & (F.col("shard") == F.col("_shard"))
+    marked = queue.join(asked, same & (F.col("node") == F.col("_node")), "left")
+    after = marked.withColumns({c: F.when(F.col("_id").isNotNull(), v).otherwise(F.col(c)) for c, v in changes.items()}).select(*queue.columns)
+    changed = queue.join(asked, same & (F.col("node") == F.col("_node")), "left_semi").withColumns(changes).select(F.col("id").alias("_id"), F.col("shard").alias("_shard"), F.col("node").alias("node"), "scheduled_at", "remaining_attempts")
+    return after, ids.join(changed, same, "left").select("ord", "id", "shard", "node", F.col("_id").isNotNull().alias("found"), "scheduled_at", "remaining_attempts")
+
+
+def mutate_over_nodes(queue: DataFrame, mutations: list, condition: Column, now: datetime, most: int) -> tuple[DataFrame, DataFrame]:
+    """mutate.by_condition on every node: (all rows after it, the first `most` changed rows by node and id, with how many changed and whether that is more than most). queue: with `node`."""
+    changes = mutate.changes(mutations, now)
+    hit = F.coalesce(condition, F.lit(False))
+    after = queue.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in changes.items()})
+    changed = queue.filter(hit).withColumns(changes).select("node", "id", "shard", "scheduled_at", "remaining_attempts")
+    total = changed.agg(F.count("*").alias("mutated"))
+    return after, changed.orderBy("node", "id", "shard").limit(most).join(F.broadcast(total.withColumn("truncated", F.col("mutated") > most)), F.lit(True))  # one row of totals
+
+
+def duplicate_nodes(nodes: DataFrame) -> DataFrame:
+    """node, n of the ids that more than one node goes by."""
+    return nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def node_rows(spark: SparkSession, buckets: dict[str | None, int], now: datetime, seed: int | None = None) -> DataFrame:
+    """id, status, created_at, identifiers_bucket of nodes: a random id for one without, and buckets that differ."""
+    named = {name or random_text(16, None if seed is None else seed + i): b for i, (name, b) in enumerate(buckets.items())}
+    rows = [(n, "active", b) for n, b in sorted(distinct_buckets(named).items())]
+    return spark.createDataFrame(rows, "id string, status string, identifiers_bucket int").select("id", "status", at(now).alias("created_at"), "identifiers_bucket")
+
+
+def bootstrap(spark: SparkSession, nodes: dict[str | None, int], shards: DataFrame | None, now: datetime, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(node rows, shard map) of a cluster: buckets are healed; a map that isn't there yet is seeded, one that is keeps its shards. Called again, it is a refresh: the caller decides when."""
+    rows = node_rows(spark, nodes, now, seed)
+    names = [r["id"] for r in rows.select("id").collect()]
+    return rows, known_shards(shards) if shards is not None else seeded_shards(spark, names, seed)
+
+
 def route_ids(ids: DataFrame, shards: DataFrame) -> DataFrame:
     """ids with the `node` that owns their shard; null while none consumes it: they go to every node."""
     m = F.broadcast(shards.select(F.col("shard").alias("_s"), F.col("consumer").alias("node")))

@@ -11,6 +11,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.functions.ids import pack
+from tidemill.functions.steps import in_order
 from tidemill.functions.values import at, micros, plus, whole_millis
 from tidemill.operators import states
 from tidemill.operators.conditions import in_shards
@@ -48,14 +50,14 @@ def claimed(spec: QueueSpec, now: datetime, consumer: str | None, visibility: ti
     return {"processing_at": at(now), "scheduled_at": plus(at(now), us), "remaining_attempts": F.col("remaining_attempts") - 1, "consumer": F.lit(consumer).cast("string")}
 
 
-def receive(queue: DataFrame, spec: QueueSpec, now: datetime, limit: int = 1, order: list[Column] = (), condition: Column | None = None, shards: list[int] | None = None, consumer: str | None = None, visibility: timedelta | None = None, metadata: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(the queue with the claims, the messages claimed: their columns, _rank and is_last_attempt)."""
+def receive(queue: DataFrame, spec: QueueSpec, now: datetime, limit: int = 1, order: list[Column] = (), condition: Column | None = None, shards: list[int] | None = None, consumer: str | None = None, visibility: timedelta | None = None, metadata: bool = False, trace: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(the queue with the claims, the messages claimed: their columns, _rank and is_last_attempt). metadata and trace add the meta columns and opentelemetry."""
     changes = claimed(spec, now, consumer, visibility)
     top = pick(queue, now, limit, order, condition, shards)
     ids = top.select(F.col("id").alias("_id"), F.col("shard").alias("_shard"), "_rank")
     marked = queue.join(bounded(ids, limit), (F.col("id") == F.col("_id")) & (F.col("shard") == F.col("_shard")), "left")
     after = marked.withColumns({c: F.when(F.col("_rank").isNotNull(), v).otherwise(F.col(c)) for c, v in changes.items()})
-    columns = [*MESSAGE[:-1], *(spec.meta_columns if metadata else []), "data"]
+    columns = [*MESSAGE[:-1], *(["opentelemetry"] if trace else []), *(spec.meta_columns if metadata else []), "data"]
     picked = pick(queue, now, limit, order, condition, shards, keep=queue.columns).withColumns(changes)
     return after.select(*queue.columns), picked.select("_rank", *columns, (F.col("remaining_attempts") == 0).alias("is_last_attempt"))
 
@@ -91,10 +93,33 @@ def to_dlq(rows: DataFrame, spec: QueueSpec, now: datetime) -> DataFrame:
     )
 
 
-def sweep_wanted(probability: float, draw: float) -> bool:
-    """Whether a receive sweeps first: never at 0, always at 1."""
+def with_ids(rows: DataFrame, spec: QueueSpec, order: list[str], bucket: int, next_counter: int) -> DataFrame:
+    """rows as rows of a companion: numbered in order from next_counter, with the columns that they don't have as nulls."""
+    placed = in_order(rows, [F.col(c).asc() for c in order], "_place", "companion-rows")
+    have = set(rows.columns)
+    values = {f.name: (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType) for f in spec.schema}
+    values["id"] = pack(F.lit(bucket), F.col("_place") - 1 + next_counter)
+    return placed.select(*[c.alias(n) for n, c in values.items()])
+
+
+def acknowledge_to_archive(queue: DataFrame, archive: DataFrame, ids: DataFrame, spec: QueueSpec, now: datetime, bucket: int = 0, next_counter: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(the queue without the named messages, the archive with them), to be committed together."""
+    left, gone = acknowledge(queue, ids)
+    rows = with_ids(to_archive(gone, spec, now), spec.archive_spec(), ["meta_original_id", "shard"], bucket, next_counter)
+    return left, archive.select(*rows.columns).unionAll(rows)
+
+
+def sweep_to_dlq(queue: DataFrame, dlq: DataFrame, spec: QueueSpec, now: datetime, limit: int, max_messages: int, bucket: int = 0, next_counter: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(the queue without the dead messages, the dead-letter queue with them), to be committed together."""
+    left, dead = sweep(queue, now, limit, max_messages)
+    rows = with_ids(to_dlq(dead, spec, now), spec.dlq_spec(), ["meta_original_id", "shard"], bucket, next_counter)
+    return left, dlq.select(*rows.columns).unionAll(rows)
+
+
+def sweeps(probability: float, seed: int | None = None) -> Column:
+    """Whether a receive sweeps first: never at 0, always at 1. One draw for each row."""
     check(0 <= probability <= 1, "probability must be in 0..1")
-    return probability > 0 and draw <= probability
+    return F.lit(False) if probability == 0 else F.lit(True) if probability == 1 else F.rand(seed) <= probability
 
 
 def sweep(queue: DataFrame, now: datetime, limit: int, max_messages: int) -> tuple[DataFrame, DataFrame]:

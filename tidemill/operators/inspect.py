@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.values import age_millis, at
@@ -18,6 +18,17 @@ def sample_percent(size_bytes: int, page: int = 8192) -> float:
     return 100.0 if pages == 0 else min(100.0, 100.0 * min(1000.0, max(100.0, pages / 100)) / pages)
 
 
+def table_bytes(spark: SparkSession, path: str) -> DataFrame:
+    """One row: bytes of the Parquet files of a table. From the listing alone, no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    return files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
+def auto_percent(spark: SparkSession, path: str) -> float:
+    """The share of a stored table that an estimate reads when the caller names none."""
+    return sample_percent(table_bytes(spark, path).first()["bytes"])
+
+
 def sampled(queue: DataFrame, percent: float, seed: int = 0) -> DataFrame:
     if not 0 < percent <= 100:
         raise ValueError("percent must be in (0, 100]")
@@ -75,3 +86,13 @@ def merged_ages(parts: DataFrame) -> DataFrame:
 def merged_values(parts: DataFrame, limit: int) -> DataFrame:
     """value, n of several nodes, exact if the parts hold all their values."""
     return parts.groupBy("value").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.asc_nulls_last("value")).limit(limit)
+
+
+def outcome_metrics(results: DataFrame, messages: DataFrame, name: str) -> DataFrame:
+    """queue, metric, value of one send, for a monitor: messages by outcome, bytes of the stored ones, batches and failed batches. messages: ord, data."""
+    sizes = messages.select(F.col("ord").alias("_ord"), F.octet_length("data").cast("long").alias("_bytes"))
+    r = results.join(sizes, F.col("ord") == F.col("_ord"))
+    batches = r.groupBy("batch").agg(F.max(F.col("outcome") == "failed").alias("_failed"), *[F.count_if(F.col("outcome") == o).alias(o) for o in ("stored", "duplicate", "failed", "not_tried")], F.coalesce(F.sum(F.when(F.col("outcome") == "stored", F.col("_bytes"))), F.lit(0)).alias("bytes"))
+    columns = ["stored", "duplicate", "failed", "not_tried", "bytes", "batches", "failed_batches"]
+    wide = batches.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns[:5]], F.count("*").alias("batches"), F.count_if("_failed").alias("failed_batches"))
+    return wide.select(F.lit(name).alias("queue"), F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("long").alias("value")) for c in columns])))

@@ -42,7 +42,8 @@ def set_schedule(delta: timedelta) -> Mutation:
     return Mutation("scheduled_at", delta, False)
 
 
-def _changes(mutations: list[Mutation], now: datetime) -> dict[str, Column]:
+def changes(mutations: list[Mutation], now: datetime) -> dict[str, Column]:
+    """What becomes of each column that is changed."""
     columns = [m.column for m in mutations]
     check(0 < len(columns) == len(set(columns)), "one mutation for each column, and one at least")
     return {m.column: m.expression(now) for m in mutations}
@@ -50,9 +51,9 @@ def _changes(mutations: list[Mutation], now: datetime) -> dict[str, Column]:
 
 def by_condition(queue: DataFrame, mutations: list[Mutation], condition: Column, now: datetime) -> tuple[DataFrame, DataFrame]:
     """(the queue after it, the rows changed). One pass; null conditions don't hold."""
-    changes = _changes(mutations, now)
+    changed_by = changes(mutations, now)
     hit = F.coalesce(condition, F.lit(False))
-    return queue.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in changes.items()}), queue.filter(hit).withColumns(changes).select("id", "shard", "scheduled_at", "remaining_attempts")
+    return queue.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in changed_by.items()}), queue.filter(hit).withColumns(changed_by).select("id", "shard", "scheduled_at", "remaining_attempts")
 
 
 def kept_results(changed: DataFrame, most: int) -> DataFrame:
@@ -61,14 +62,19 @@ def kept_results(changed: DataFrame, most: int) -> DataFrame:
     return changed.orderBy("id", "shard").limit(most).join(F.broadcast(total.withColumn("truncated", F.col("mutated") >= most)), F.lit(True))  # one row of totals
 
 
+def reduced(changed: DataFrame) -> DataFrame:
+    """The short form of changed rows: which ones."""
+    return changed.select("id", "shard")
+
+
 def by_ids(queue: DataFrame, mutations: list[Mutation], ids: DataFrame, now: datetime, n: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(the queue after it, a row for each of ids (ord, id, shard) with its new schedule and attempts, or found = false)."""
-    changes = _changes(mutations, now)
+    changed_by = changes(mutations, now)
     asked = bounded(ids.select(F.col("id").alias("_id"), F.col("shard").alias("_shard")).distinct(), n)
     same = (F.col("id") == F.col("_id")) & (F.col("shard") == F.col("_shard"))
     marked = queue.join(asked, same, "left")
-    after = marked.withColumns({c: F.when(F.col("_id").isNotNull(), v).otherwise(F.col(c)) for c, v in changes.items()}).select(*queue.columns)
-    changed = queue.join(asked, same, "left_semi").withColumns(changes).select(F.col("id").alias("_id"), F.col("shard").alias("_shard"), "scheduled_at", "remaining_attempts")
+    after = marked.withColumns({c: F.when(F.col("_id").isNotNull(), v).otherwise(F.col(c)) for c, v in changed_by.items()}).select(*queue.columns)
+    changed = queue.join(asked, same, "left_semi").withColumns(changed_by).select(F.col("id").alias("_id"), F.col("shard").alias("_shard"), "scheduled_at", "remaining_attempts")
     results = ids.join(changed, same, "left").select("ord", "id", "shard", F.col("_id").isNotNull().alias("found"), "scheduled_at", "remaining_attempts")
     return after, results
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions import ids
-from tidemill.functions.steps import step
+from tidemill.functions.steps import in_order, scratch, step
 from tidemill.functions.values import at, micros, plus
 from tidemill.operators import states
 from tidemill.plans.spec import FIELD_TYPES, MAX_META_TEXT, SHARDS, QueueSpec, Unique, check, check_worker, resolve
@@ -92,7 +92,10 @@ def _marked(rows: DataFrame, queue: DataFrame, spec: QueueSpec, within: list[str
         key, own = F.col(f.column), [*within, f.column]
         held = queue.filter(scope(f.unique) & key.isNotNull()).select(key.alias(f"_key{i}")).distinct()
         first = rows.filter(key.isNotNull() & ~(apart if apart is not None else F.lit(False))).groupBy(*[F.col(c).alias(f"_{i}_{c}") for c in own]).agg(F.min("ord").alias(f"_first{i}"))
-        out = out.join(first, [F.col(c) == F.col(f"_{i}_{c}") for c in own], "left").join(held, key == F.col(f"_key{i}"), "left")
+        # rows without a key match nothing: a number of their own deals them over all tasks instead of one
+        spread = F.when(key.isNull(), F.col("ord"))
+        out = out.join(first.withColumn(f"_null{i}", F.lit(None).cast("long")), [*[F.col(c).eqNullSafe(F.col(f"_{i}_{c}")) if c == f.column else F.col(c) == F.col(f"_{i}_{c}") for c in own], spread.eqNullSafe(F.col(f"_null{i}"))], "left")
+        out = out.join(held.withColumn(f"_nullh{i}", F.lit(None).cast("long")), [key.eqNullSafe(F.col(f"_key{i}")), spread.eqNullSafe(F.col(f"_nullh{i}"))], "left")
         duplicate = duplicate | F.col(f"_key{i}").isNotNull() | F.coalesce(F.col("ord") > F.col(f"_first{i}"), F.lit(False))
     return out.withColumn("duplicate", duplicate).select(*rows.columns, "duplicate")
 
@@ -122,31 +125,20 @@ def losers(wanted: DataFrame) -> DataFrame:
     In rounds of joins: units that are the earliest open ones for all their keys are stored, open units that share a key with them
     lose, both are settled. The earliest open unit always is.
     """
-    lost = wanted.sparkSession.createDataFrame([], "unit long")
-    left = step(wanted.select(F.col("unit").cast("long").alias("unit"), "field", "key"), "send-claims")
-    while not left.isEmpty():
-        first = left.groupBy("field", "key").agg(F.min("unit").alias("first"))
-        stored = step(left.join(first, ["field", "key"]).groupBy("unit").agg(F.max(F.col("unit") > F.col("first")).alias("behind")).filter("not behind").select("unit"), "send-stored")
-        taken = left.join(stored, "unit", "left_semi").select("field", "key").distinct()
-        beaten = step(left.join(stored, "unit", "left_anti").join(taken, ["field", "key"], "left_semi").select("unit").distinct(), "send-beaten")
-        lost = lost.unionAll(beaten)
-        left = step(left.join(stored.unionAll(beaten), "unit", "left_anti"), "send-claims")
+    spark = wanted.sparkSession
+    lost = spark.createDataFrame([], "unit long")
+    with scratch(spark) as last:
+        left = step(wanted.select(F.col("unit").cast("long").alias("unit"), "field", "key"), "send-claims")
+        while not left.isEmpty():
+            first = left.groupBy("field", "key").agg(F.min("unit").alias("first"))
+            stored = step(left.join(first, ["field", "key"]).groupBy("unit").agg(F.max(F.col("unit") > F.col("first")).alias("behind")).filter("not behind").select("unit"), "send-stored")
+            taken = left.join(stored, "unit", "left_semi").select("field", "key").distinct()
+            beaten = last(step(left.join(stored, "unit", "left_anti").join(taken, ["field", "key"], "left_semi").select("unit").distinct(), "send-beaten"))
+            lost = lost.unionAll(beaten)
+            left = step(left.join(stored.unionAll(beaten), "unit", "left_anti"), "send-claims")
     return lost
 
 
-def greedy(batch: list[dict], unique: list[str], held: dict[str, set]) -> list[bool]:
-    """Which messages of one batch are duplicates under several unique fields: row by row, as only inserted rows hold keys. held (by field) grows."""
-    out = []
-    for row in batch:
-        clash = any(row[c] is not None and row[c] in held[c] for c in unique)
-        out.append(clash)
-        if not clash:
-            for c in unique:
-                if row[c] is not None:
-                    held[c].add(row[c])
-    return out
-
-
 def stored_batches(failing: DataFrame, partial: str) -> DataFrame:
     """batch, failed (one row each) with `outcome`: stored, failed or not_tried. The first failure is one aggregate, not a collected list."""
     first = failing.filter("failed").agg(F.min("batch").alias("_first"))
@@ -161,7 +153,7 @@ def stored_batches(failing: DataFrame, partial: str) -> DataFrame:
 
 
 def send(queue: DataFrame, spec: QueueSpec, messages: DataFrame, options: SendOptions, now: datetime, bad: Column | None = None, bucket: int = 0, next_counter: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(the queue with what was stored, a row for each message: ord, batch, outcome of stored, duplicate, failed or not_tried, id of the stored).
+    """(the queue with what was stored, a row for each message: ord, batch, outcome of stored, duplicate, failed or not_tried, id of the stored, error of failed ones: why their batch didn't go in).
 
     bad marks messages whose insert fails; over-long texts fail too. On duplicates FAIL fails a batch, if the key is held or came in an earlier
     message; IGNORE leaves the message out. A failed batch is rolled back, so its messages hold no keys against later batches.
@@ -173,25 +165,52 @@ def send(queue: DataFrame, spec: QueueSpec, messages: DataFrame, options: SendOp
     else:
         rows = rows.withColumn("_bad", F.lit(False))
     rows = rows.withColumn("batch", batch_of(F.col("ord"), options.batch_size)).withColumn("_fails", F.col("_bad") | too_long(spec))
+    why = F.when(F.col("_bad"), "insert failed").when(too_long(spec), "text too long")
+    worst = F.min(F.when(F.col("_fails"), F.struct("ord", "_why")))["_why"].alias("_error")  # the first message that failed
     if options.dedup == IGNORE:
-        broken = rows.groupBy("batch").agg(F.max("_fails").alias("failed"))
-        rows = without_duplicates(rows.join(broken.withColumnRenamed("failed", "_apart"), "batch"), queue, spec, F.col("_apart"))
+        rows = rows.withColumn("_why", why)
+        broken = rows.groupBy("batch").agg(F.max("_fails").alias("failed"), worst)
+        rows = without_duplicates(rows.join(broken.select("batch", F.col("failed").alias("_apart")), "batch"), queue, spec, F.col("_apart"))
     else:
         # the other modes store nothing after the first failure, until which every earlier message is stored
         rows = _marked(rows, queue, spec, ["batch"] if options.partial == AS_MANY else [])
-        rows = rows.withColumn("_fails", F.col("_fails") | F.col("duplicate"))
-        broken = rows.groupBy("batch").agg(F.max("_fails").alias("failed"))
+        rows = rows.withColumn("_fails", F.col("_fails") | F.col("duplicate")).withColumn("_why", F.coalesce(why, F.lit("duplicate key")))
+        broken = rows.groupBy("batch").agg(F.max("_fails").alias("failed"), worst)
         if options.partial == AS_MANY and unique_fields(spec):
             whole = broken.filter("not failed").select("batch")
             beaten = losers(claims(rows.join(whole, "batch", "left_semi"), spec, "batch")).select(F.col("unit").alias("batch"), F.lit(True).alias("_beaten"))
-            broken = broken.join(beaten, "batch", "left").select("batch", (F.col("failed") | F.col("_beaten").isNotNull()).alias("failed"))
-    batches = stored_batches(broken, options.partial).select(F.col("batch").alias("_b"), F.col("outcome").alias("_outcome"))
+            broken = broken.join(beaten, "batch", "left").select("batch", (F.col("failed") | F.col("_beaten").isNotNull()).alias("failed"), F.coalesce("_error", F.when(F.col("_beaten"), "duplicate key")).alias("_error"))
+    batches = stored_batches(broken, options.partial).select(F.col("batch").alias("_b"), F.col("outcome").alias("_outcome"), "_error")
     rows = rows.join(batches, F.col("batch") == F.col("_b")).withColumn("outcome", F.when((F.col("_outcome") == "stored") & F.col("duplicate"), "duplicate").otherwise(F.col("_outcome")))
     stored = rows.filter("outcome = 'stored'").select(*spec.schema.names)
-    results = rows.select("ord", "batch", "outcome", F.when(F.col("outcome") == "stored", F.col("id")).alias("id"))
+    error = F.when(F.col("outcome") == "failed", F.coalesce("_error", F.lit("another batch failed")))
+    results = rows.select("ord", "batch", "outcome", F.when(F.col("outcome") == "stored", F.col("id")).alias("id"), error.alias("error"))
     return queue.select(*spec.schema.names).unionAll(stored), results
 
 
+def only(results: DataFrame, *outcomes: str) -> DataFrame:
+    """The results of some outcomes."""
+    return results.filter(F.col("outcome").isin(*outcomes))
+
+
+def to_send_again(results: DataFrame, messages: DataFrame) -> DataFrame:
+    """The messages that weren't stored, failed or not tried, as they were given: ready for another send."""
+    open_ = only(results, "failed", "not_tried").select(F.col("ord").alias("_ord"))
+    return messages.join(open_, F.col("ord") == F.col("_ord"), "left_semi")
+
+
+def raise_if_failed(results: DataFrame) -> None:
+    """An error that names the first failed batch, if there is one."""
+    first = only(results, "failed").agg(F.min(F.struct("ord", "batch", "error")).alias("f"), F.count("*").alias("n")).first()
+    if first["f"]:
+        raise RuntimeError(f"{first['n']} messages failed, batch {first['f']['batch']} first: {first['f']['error']}")
+
+
+def numbered(messages: DataFrame, order: list[Column]) -> DataFrame:
+    """messages with ord, 1, 2, ... in an order in which all differ."""
+    return in_order(messages, order, "ord", "send-messages")
+
+
 def first_of_key(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The earliest row of each key."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("_n = 1").drop("_n")

@@ -9,20 +9,20 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import ids, names, values
 from tidemill.operators import cluster, conditions as c, consume, inspect, mutate, produce, states
-from tidemill.plans.spec import QueueSpec
+from tidemill.plans.spec import MetaField, QueueSpec, Unique
 from tidemill.sources.tables import EVENTS, LINES, NOW, events_queue, nodes, shard_map, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
-_NOW = "timestamp '2024-01-15 00:00:00'"
+_NOW = "timestamp '2024-01-31 00:00:00'"
 #: The queue view of events, as SQL.
 _Q = f"""
 q as (
   select event_id as id, (user_id % 1024)::int as shard, ts as created_at, ts + ((event_id * 7) % 337) * interval 1 hour as scheduled_at,
     case when event_id % 3 = 0 then ts + interval 1 hour end as processing_at, (event_id % 4)::int as remaining_attempts,
     user_id as meta_user_id, event_type as meta_event_type, value as meta_value, case when event_id % 11 <> 0 then (event_id % 10)::int end as meta_priority, props as data
-  from events where ts <= {_NOW}
+  from events
 )"""
 _VISIBLE = f"scheduled_at <= {_NOW} and remaining_attempts > 0"
 _STATE = f"""case
@@ -275,11 +275,71 @@ def retention_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def sweep_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many of 1000 receives sweep first, with a chance of a tenth."""
-    import random
+    """How many receives, one for each message, sweep first, with a chance of a tenth: a seeded draw differs between engines."""
+    receives = events_queue(spark, sf_dir).select(consume.sweeps(0.1, seed=7).alias("sweep"), consume.sweeps(0).alias("never"), consume.sweeps(1).alias("always"))
+    return receives.agg(F.count("*").alias("receives"), *[F.count_if(c).alias(f"{c}s") for c in ("sweep", "never", "always")])
 
-    r = random.Random(7)
-    return spark.range(1).select(F.lit(sum(consume.sweep_wanted(0.1, r.random()) for _ in range(1000))).alias("sweeps"))
+
+# Companions with ids of their own, in one call
+
+
+_OWN_ID = "(5::bigint << 53) | (row_number() over (order by id, shard) - 1 + 100)"
+
+
+@query(f"with {_Q} select {_OWN_ID} as id, shard, id as meta_original_id, data from q where {_NAMED}")
+def ack_to_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = spark.createDataFrame([], EVENTS.archive_spec().schema)
+    _, out = consume.acknowledge_to_archive(events_queue(spark, sf_dir), archive, _named(spark, sf_dir), EVENTS, NOW, bucket=5, next_counter=100)
+    return out.select("id", "shard", "meta_original_id", "data")
+
+
+@query(f"with {_Q}, d as (select * from q where {_DEAD} qualify row_number() over (order by scheduled_at, id) <= 150) select {_OWN_ID} as id, shard, id as meta_original_id, 2147483647 as remaining_attempts, data from d")
+def sweep_to_dlq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dlq = spark.createDataFrame([], EVENTS.dlq_spec().schema)
+    _, out = consume.sweep_to_dlq(events_queue(spark, sf_dir), dlq, EVENTS, NOW, 10, 150, bucket=5, next_counter=100)
+    return out.select("id", "shard", "meta_original_id", "remaining_attempts", "data")
+
+
+# Claims in turn
+
+
+@query(f"with {_Q} select case when r <= 40 then 1 else 2 end as claim, id from (select id, row_number() over (order by scheduled_at, id) as r from q where {_VISIBLE}) where r <= 80")
+def claims_in_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two workers: the second claims from what the first left."""
+    after, first = consume.receive(events_queue(spark, sf_dir), EVENTS, NOW, 40)
+    _, second = consume.receive(after, EVENTS, NOW, 40)
+    return first.select(F.lit(1).alias("claim"), "id").unionAll(second.select(F.lit(2).alias("claim"), "id"))
+
+
+@query(f"""with {_Q}, p as (select id, row_number() over (order by scheduled_at, id) as r from q where {_VISIBLE} qualify r <= 100),
+c as (select q.id, case when r is null then scheduled_at else {_NOW} + interval 60 second end as scheduled_at, case when r is null then processing_at else {_NOW} end as processing_at, case when r is null then remaining_attempts else remaining_attempts - 1 end as remaining_attempts from q left join p on p.id = q.id)
+select {_COUNTS} from (select {_STATE.replace(_NOW, f"({_NOW} + interval 61 second)")} as s from c)""")
+def leases_run_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States a second after the leases of a claim: its messages are to be had again, or dead."""
+    after, _ = consume.receive(events_queue(spark, sf_dir), EVENTS, NOW, 100)
+    return inspect.count(after, NOW + timedelta(seconds=61))
+
+
+@query(_received_sql(limit=25, extra="'traceparent,00-' || id as trace,"))
+def receive_with_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    traced = events_queue(spark, sf_dir).withColumn("opentelemetry", F.array(F.lit("traceparent"), F.concat(F.lit("00-"), F.col("id"))))
+    out = _received(consume.receive(traced, EVENTS, NOW, 25, trace=True))
+    return out.withColumn("trace", F.array_join("opentelemetry", ",")).drop("opentelemetry")
+
+
+# Sizes
+
+
+@query(None)
+def table_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of the files of a stored table, which SQL over its rows can't see."""
+    return inspect.table_bytes(spark, f"{sf_dir}/events.parquet")
+
+
+@query(ORACLE["count_by_state"])
+def count_auto_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the share that the table's size asks for: all of a table of up to 100 pages."""
+    return inspect.count(events_queue(spark, sf_dir), NOW, percent=inspect.auto_percent(spark, f"{sf_dir}/events.parquet"), seed=1)
 
 
 # Mutations
@@ -371,8 +431,6 @@ def dedup_all_live(spark: SparkSession, sf_dir: str) -> DataFrame:
 f as (select c_custkey % 400 as k, min(c_custkey) as first from customer group by 1)
 select c_custkey + 1 as ord, f.k as meta_user_id, (held.k is not null or c_custkey > f.first) as duplicate from customer join f on f.k = c_custkey % 400 left join held on held.k = f.k""")
 def dedup_untouched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemill.plans.spec import MetaField, Unique
-
     spec = QueueSpec("users", fields=(MetaField("userId", "long", Unique.UNTOUCHED),))
     messages = table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1).alias("ord"), (F.col("c_custkey") % 400).alias("meta_user_id"), F.col("c_name").alias("data"))
     rows = produce.new_rows(messages, spec, produce.SendOptions(dedup=produce.IGNORE), NOW)
@@ -392,13 +450,82 @@ def send_ignore_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summed(produce.send(queue, LINES, messages, produce.SendOptions(dedup=produce.IGNORE), NOW)[1])
 
 
-_BATCHES = "b as (select (ord - 1) // 1000000000000 as batch, bool_or(dup) as failed from x group by 1), t as (select min(batch) as first from b where failed)"
+def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A message for each order in turn; some repeat the key of one that came 70 before, some have none."""
+    k = F.col("o_orderkey")
+    key = F.when(k % 11 == 0, None).when(k % 59 == 5, k - 70).otherwise(k)
+    return table(spark, sf_dir, "orders").select((k + 1).alias("ord"), key.alias("meta_line"), F.col("o_orderpriority").alias("data"))
+
+
+_KEYED = """m as (select o_orderkey + 1 as ord, o_orderkey // 10 as batch, case when o_orderkey % 11 = 0 then null when o_orderkey % 59 = 5 then o_orderkey - 70 else o_orderkey end as k, (o_orderkey + 1) % 37 = 0 as bad from orders)"""
+#: Batches in turn: one fails if it is bad, repeats a key of its own, or has one that an earlier stored batch holds. Only keys of several batches are carried along.
+_IN_TURN = """again as (select k from m where k is not null group by k having count(*) > 1),
+b as (select batch, max(bad::int) + max(coalesce(twice, 0)) > 0 as broken, coalesce(list(m.k) filter (where again.k is not null), []) as ks from m left join again on again.k = m.k
+  left join (select batch as tb, 1 as twice from m where k is not null group by batch, k having count(*) > 1) on tb = batch group by batch),
+run(batch, held, stored) as (
+  select -1::bigint, []::bigint[], false union all
+  select batch, case when ok then list_concat(held, ks) else held end, ok from (select b.batch, held, ks, not broken and not list_has_any(held, ks) as ok from run join b on b.batch = run.batch + 1))"""
 
 
-@query(f"with {_LINES}, {_BATCHES}, r as (select ord, case when failed then 'failed' else 'stored' end as outcome from x join b on b.batch = (x.ord - 1) // 1000000000000) {_SUMMED}")
+@query(f"with recursive {_KEYED.replace('(o_orderkey + 1) % 37 = 0', 'false')}, {_IN_TURN}, r as (select ord, case when stored then 'stored' else 'failed' end as outcome from m join run using (batch)) {_SUMMED}")
 def send_fail_on_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queue, messages = _lines(spark, sf_dir)
-    return _summed(produce.send(queue, LINES, messages, produce.SendOptions(partial=produce.AS_MANY, batch_size=1_000_000_000_000), NOW)[1])
+    empty = spark.createDataFrame([], LINES.schema)
+    return _summed(produce.send(empty, LINES, _keyed(spark, sf_dir), produce.SendOptions(partial=produce.AS_MANY, batch_size=10), NOW)[1])
+
+
+@query(f"with recursive {_KEYED}, {_IN_TURN} select ord, case when stored then 'stored' else 'failed' end as outcome, case when stored then ord - 1 end as id from m join run using (batch)")
+def send_after_failed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bad messages take their batches back, whose keys are then free for later ones."""
+    empty = spark.createDataFrame([], LINES.schema)
+    options = produce.SendOptions(partial=produce.AS_MANY, batch_size=10)
+    return produce.send(empty, LINES, _keyed(spark, sf_dir), options, NOW, bad=F.col("ord") % 37 == 0)[1].select("ord", "outcome", "id")
+
+
+@query(f"""with {_KEYED}, b as (select batch, bool_or(bad) as failed from m group by 1), f as (select k, min(ord) as first from m join b using (batch) where not failed and k is not null group by k)
+select ord, case when failed then 'failed' when ord > first then 'duplicate' else 'stored' end as outcome from m join b using (batch) left join f on f.k = m.k""")
+def send_ignore_after_failed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    empty = spark.createDataFrame([], LINES.schema)
+    options = produce.SendOptions(dedup=produce.IGNORE, partial=produce.AS_MANY, batch_size=10)
+    return produce.send(empty, LINES, _keyed(spark, sf_dir), options, NOW, bad=F.col("ord") % 37 == 0)[1].select("ord", "outcome")
+
+
+_IGNORED = """b as (select batch, bool_or(bad) as failed from m group by 1), f as (select k, min(ord) as first from m join b using (batch) where not failed and k is not null group by k),
+r as (select ord, batch, m.k, size, case when failed then 'failed' when ord > first then 'duplicate' else 'stored' end as outcome from (select m.*, octet_length(encode(o_orderpriority)) as size from m join orders on o_orderkey + 1 = ord) m join b using (batch) left join f on f.k = m.k)"""
+
+
+def _ignored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(the messages, their results)."""
+    empty, messages = spark.createDataFrame([], LINES.schema), _keyed(spark, sf_dir)
+    options = produce.SendOptions(dedup=produce.IGNORE, partial=produce.AS_MANY, batch_size=10)
+    return messages, produce.send(empty, LINES, messages, options, NOW, bad=F.col("ord") % 37 == 0)[1]
+
+
+@query(f"""with {_KEYED}, {_IGNORED} select 'lines' as queue, metric, value from (select count(*) filter (where outcome = 'stored')::bigint as stored, count(*) filter (where outcome = 'duplicate')::bigint as duplicate, count(*) filter (where outcome = 'failed')::bigint as failed, 0::bigint as not_tried,
+sum(size) filter (where outcome = 'stored')::bigint as bytes, count(distinct batch)::bigint as batches, count(distinct batch) filter (where outcome = 'failed')::bigint as failed_batches from r) unpivot (value for metric in (stored, duplicate, failed, not_tried, bytes, batches, failed_batches))""")
+def send_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages, results = _ignored(spark, sf_dir)
+    return inspect.outcome_metrics(results, messages, "lines")
+
+
+@query(f"with {_KEYED}, {_IGNORED} select ord, k as meta_line, 'insert failed' as error from r where outcome = 'failed'")
+def send_failed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is to be sent again, and why it didn't go in."""
+    messages, results = _ignored(spark, sf_dir)
+    return produce.to_send_again(results, messages).join(results.select("ord", "error"), "ord").select("ord", "meta_line", "error")
+
+
+@query("""with recursive m as (select c_custkey as i, case when c_custkey % 5 <> 0 then c_custkey // 2 end as a, case when c_custkey % 7 <> 0 then (c_custkey + 1) // 2 end as b from customer),
+run(i, ha, hb, stored) as (
+  select (select min(i) from m) - 1, []::bigint[], []::bigint[], false union all
+  select i, case when ok and a is not null then list_append(ha, a) else ha end, case when ok and b is not null then list_append(hb, b) else hb end, ok
+  from (select m.i, a, b, ha, hb, not coalesce(list_contains(ha, a), false) and not coalesce(list_contains(hb, b), false) as ok from run join m on m.i = run.i + 1))
+select i + 1 as ord, case when stored then 'stored' else 'duplicate' end as outcome from run where i >= (select min(i) from m)""")
+def send_two_unique_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in turn, each with two keys that its neighbours share: a message is left out if either is held by a stored one."""
+    spec = QueueSpec("pairs", fields=(MetaField("a", "long", Unique.ALL_LIVE), MetaField("b", "long", Unique.ALL_LIVE)))
+    k = F.col("c_custkey")
+    messages = table(spark, sf_dir, "customer").select((k + 1).alias("ord"), F.when(k % 5 != 0, F.floor(k / 2)).alias("meta_a"), F.when(k % 7 != 0, F.floor((k + 1) / 2)).alias("meta_b"), F.col("c_name").alias("data"))
+    return produce.send(spark.createDataFrame([], spec.schema), spec, messages, produce.SendOptions(dedup=produce.IGNORE), NOW)[1].select("ord", "outcome")
 
 
 def _partial(name: str, mode: str, sql: str) -> None:
@@ -451,6 +578,24 @@ def flat_array_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", flat.alias("m")).select("event_id", F.col("m")["kind"].alias("kind"), F.col("m")["amount"].alias("amount"), F.size("m").alias("n"))
 
 
+# Payloads
+
+
+@query("""with x as (select event_id, regexp_extract(props, '([0-9]+)', 1)::bigint as k from events) select event_id, k, '{"k":' || (k + 1)::varchar || '}' as next, true as good, false as bad from x""")
+def json_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codec = values.json_codec("k long")
+    k = codec.read(F.col("props"))["k"]
+    return table(spark, sf_dir, "events").select("event_id", k.alias("k"), codec.write(F.struct((k + 1).alias("k"))).alias("next"), values.is_json(F.col("props")).alias("good"), values.is_json(F.concat(F.lit("{"), F.col("props"))).alias("bad"))
+
+
+@query("""select o_orderkey, o_orderkey as k, o_orderpriority as p, octet_length(encode('{"k":' || o_orderkey::varchar || ',"p":"' || o_orderpriority || '"}'))::bigint as bytes from orders""")
+def payload_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structs as binary payloads, and back."""
+    codec = values.binary_codec("k long, p string")
+    sent = table(spark, sf_dir, "orders").select("o_orderkey", codec.write(F.struct(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("p"))).alias("data"))
+    return sent.select("o_orderkey", codec.read(F.col("data")).alias("v"), F.octet_length("data").cast("long").alias("bytes")).select("o_orderkey", "v.k", "v.p", "bytes")
+
+
 # Clusters: regions are nodes
 
 _MAP = """shards as (select s.shard::int as shard, case when s.shard % 9 = 0 then t.r_name else o.r_name end as producer, case when s.shard % 9 <> 0 then o.r_name end as consumer, case when s.shard % 9 = 0 then t.r_name end as next
@@ -502,6 +647,48 @@ def merge_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inspect.merged_values(a.unionAll(b).unionAll(d), 4)
 
 
+_ON_NODES = f"{_Q}, {_MAP}, on_nodes as (select q.*, r_name as node, consumer from q join region on r_regionkey = q.shard % 5 join shards on shards.shard = q.shard)"
+
+
+def _on_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queue with the node that holds each row."""
+    r = table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("node"))
+    q = events_queue(spark, sf_dir)
+    return q.join(F.broadcast(r), F.col("shard") % 5 == F.col("r_regionkey")).select(*q.columns, "node")  # a row for each node
+
+
+@query(f"with {_ON_NODES} select node, row_number() over (order by scheduled_at, id)::int as rank, id, shard, remaining_attempts - 1 as remaining_attempts from on_nodes where consumer = (select min(consumer) from shards) and {_VISIBLE} qualify rank <= 30")
+def receive_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From one consuming node, whose migrating shards stay out."""
+    _, out = cluster.receive_routed(_on_nodes(spark, sf_dir), shard_map(spark, sf_dir), EVENTS, NOW, 30)
+    return out.select("node", F.col("_rank").alias("rank"), "id", "shard", "remaining_attempts")
+
+
+@query(f"""with {_ON_NODES}, a as (select event_id as ord, event_id as id, (case when event_id % 2 = 0 then user_id % 1024 else 2000 end)::int as shard from events where event_id % 7 = 0)
+select a.ord, a.id, a.shard, o.node, o.id is not null as found, o.scheduled_at, o.remaining_attempts + 3 as remaining_attempts from a left join on_nodes o on o.id = a.id and o.shard = a.shard and o.consumer = o.node""")
+def cluster_mutate_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _named(spark, sf_dir).withColumn("ord", F.col("id"))
+    return cluster.mutate_ids_routed(_on_nodes(spark, sf_dir), shard_map(spark, sf_dir), [mutate.add_attempts(3)], asked, NOW)[1]
+
+
+@query(f"with {_ON_NODES}, m as (select node, id, shard, scheduled_at, 1 as remaining_attempts from on_nodes where meta_priority <= 6) select m.*, (select count(*) from m)::bigint as mutated, (select count(*) from m) > 20 as truncated from m order by node, id limit 20")
+def cluster_mutate_by_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.mutate_over_nodes(_on_nodes(spark, sf_dir), [mutate.set_attempts(1)], c.less_eq("priority", 6), NOW, 20)[1]
+
+
+@query("select r_name as node, count(*)::bigint as n from nation join region on n_regionkey = r_regionkey group by 1 having count(*) > 1")
+def duplicate_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "region")
+    named = table(spark, sf_dir, "nation").join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("node"))
+    return cluster.duplicate_nodes(named)
+
+
+@query(f"select r_name as id, 'active' as status, {_NOW} as created_at, ((1020 + row_number() over (order by r_name)) % 1024)::int as identifiers_bucket from region")
+def node_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes that all came with one bucket get buckets that differ."""
+    return cluster.bootstrap(spark, {r["node"]: 1021 for r in nodes(spark, sf_dir).collect()}, None, NOW, 3)[0]
+
+
 @query(f"with {_MAP} select r_name as node, count(shard)::bigint as n from region left join shards on producer = r_name group by 1")
 def shard_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.shard_histogram(shard_map(spark, sf_dir), nodes(spark, sf_dir))

@@ -9,10 +9,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.functions.values import at
 from tidemill.plans.spec import MetaField, QueueSpec, Unique
 
-NOW = datetime(2024, 1, 15)
+#: After the last event of the test tables.
+NOW = datetime(2024, 1, 31)
 #: The queue that the events table stands for.
 EVENTS = QueueSpec("events", "text", (MetaField("userId", "long"), MetaField("eventType", "string", Unique.SEARCH), MetaField("value", "double"), MetaField("priority", "int")))
 #: The queue that line items are sent to.
@@ -23,9 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def events_queue(spark: SparkSession, sf_dir: str, now: datetime = NOW) -> DataFrame:
-    """Events up to now, with schedules, claims and attempts that follow from their ids."""
-    e = table(spark, sf_dir, "events").filter(F.col("ts") <= at(now))
+def events_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events, with schedules, claims and attempts that follow from their ids."""
+    e = table(spark, sf_dir, "events")
     i = F.col("event_id")
     return e.select(
         i.alias("id"), F.lit(None).cast("int").alias("uc"), F.lit(None).cast("array<string>").alias("opentelemetry"), (F.col("user_id") % 1024).cast("int").alias("shard"), F.col("ts").cast("timestamp_ntz").alias("created_at"),
