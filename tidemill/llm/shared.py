@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemill.functions.steps import scratch, step
+
 #: A query's execution drops its own shuffle files once its rows are written (a Spark setting).
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -17,34 +14,36 @@ BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS, NUMBER_ROWS = 1_000, 20_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a new temporary one only where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        folder = tempfile.mkdtemp(prefix="tidemill-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        at = "file://" + folder
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def kept(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
-    """df written as a Parquet table in the shared folder and read again: lineage ends there, and any executor can reread it.
+    """df as a step: a Parquet table in the shared folder.
 
     batch_rows: rows that Python workers get at once meanwhile, where they are short.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     settings = {CLEANUP: "true"} | ({BATCH: str(batch_rows)} if batch_rows else {})
     before = {k: spark.conf.get(k, None) for k in settings}
     try:
         for k, v in settings.items():
             spark.conf.set(k, v)
-        df.write.parquet(path)
+        return step(df, name)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """df with its columns named c0, c1, .. by their places, and the new names of the given ones: whatever they were called, no name clashes with an operator's own, which begin with an underscore."""
+    have = df.columns
+    at = [have.index(n) if n in have else [c.lower() for c in have].index(n.lower()) for n in names]
+    return df.toDF(*(f"c{i}" for i in range(len(have)))), [f"c{i}" for i in at]
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """name, with as many underscores more as it takes not to be a column of df."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
 def partitions(spark: SparkSession) -> int:
@@ -176,20 +175,21 @@ def components(edges: DataFrame) -> DataFrame:
         if up:
             yield pd.DataFrame({"a": list(up), "b": [find(x) for x in list(up)]})
 
-    stars = kept(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInPandas(joined, "a long, b long").distinct(), "cc-stars", NUMBER_ROWS)
-    nodes = stars.select(F.col("a").alias("node"), "b").unionAll(stars.select(F.col("b").alias("node"), "b"))
-    label = kept(nodes.groupBy("node").agg(F.min("b").alias("comp")), "cc-labels")
-    apart = stars.filter("a <> b")
-    while True:
-        la, lb = label.select(F.col("node").alias("a"), F.col("comp").alias("ca")), label.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-        split = apart.join(la, "a").join(lb, "b").filter("ca <> cb").select(F.greatest("ca", "cb").alias("high"), F.least("ca", "cb").alias("low"))
-        moved = kept(split.groupBy("high").agg(F.min("low").alias("low")), "cc-moved")
-        if moved.isEmpty():
-            return label
-        for _ in range(2):  # labels that move along with the label they moved to
-            further = moved.select(F.col("high").alias("low"), F.col("low").alias("next"))
-            moved = kept(moved.join(further, "low", "left").select("high", F.coalesce("next", "low").alias("low")), "cc-moved")
-        label = kept(label.join(moved, label["comp"] == moved["high"], "left").select("node", F.coalesce("low", "comp").alias("comp")), "cc-labels")
+    with scratch(edges.sparkSession) as last:
+        stars = kept(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInPandas(joined, "a long, b long").distinct(), "cc-stars", NUMBER_ROWS)
+        nodes = stars.select(F.col("a").alias("node"), "b").unionAll(stars.select(F.col("b").alias("node"), "b"))
+        label = kept(nodes.groupBy("node").agg(F.min("b").alias("comp")), "cc-labels")
+        apart = stars.filter("a <> b")
+        while True:
+            la, lb = label.select(F.col("node").alias("a"), F.col("comp").alias("ca")), label.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+            split = apart.join(la, "a").join(lb, "b").filter("ca <> cb").select(F.greatest("ca", "cb").alias("high"), F.least("ca", "cb").alias("low"))
+            moved = kept(split.groupBy("high").agg(F.min("low").alias("low")), "cc-moved")
+            if moved.isEmpty():
+                return last(label)
+            for _ in range(2):  # labels that move along with the label they moved to
+                further = moved.select(F.col("high").alias("low"), F.col("low").alias("next"))
+                moved = kept(moved.join(further, "low", "left").select("high", F.coalesce("next", "low").alias("low")), "cc-moved")
+            label = kept(label.join(moved, label["comp"] == moved["high"], "left").select("node", F.coalesce("low", "comp").alias("comp")), "cc-labels")
 
 
 #: Bits of the filter below; as words of 64 bits it has 131,072 rows at most, a few MB, whatever the number of ids.
