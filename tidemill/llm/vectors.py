@@ -1,20 +1,21 @@
-"""What the two vector searches share: valid vectors, chunks of rows by a group, and queries in blocks held against all chunks.
+"""What the two vector searches share: valid vectors, chunks of rows by a group, and queries sent to units of chunks.
 
-A stated set of queries meets all rows, in blocks: each pair of a query block and a chunk of rows goes to one task group
-(block, part); there are PARTS groups for each block, and each returns what is best among its chunks for each query. So no task
-holds more than a block and a chunk, no group is larger for a frequent vector, and results grow with the queries alone.
+A stated set of queries meets all rows: chunks are dealt to units of about UNIT rows, one task each, and a query goes once to each unit,
+which returns what is best there for it. A task holds one unit and a block of queries; no group is larger for a frequent
+vector. What is shuffled are the rows once, and a query for each unit: rows are written UNIT / (bytes of a query) times more seldom than
+pairs are compared.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.shared import frugal, kept, partitions, some_rows
 
-#: Rows of a chunk, queries of a block, task groups of a block.
-CHUNK, BLOCK, PARTS = 4096, 512, 8
+#: Rows of a chunk (twice as many at most), rows of a unit of chunks, queries that a task holds at once.
+CHUNK, UNIT, BLOCK = 4096, 65_536, 512
 #: Rows from which centroids and pivots are chosen.
 SAMPLE = 20_000
 
@@ -43,12 +44,21 @@ def matrix(column, n: int) -> np.ndarray:
     return np.stack(column.to_list()).astype(np.float64) if len(column) else np.zeros((0, n))
 
 
-def chunked(rows: DataFrame, pack, name: str) -> DataFrame:
-    """rows (grp int, _id, ..) as one row for each chunk: kind 1, a, b, c binary. pack(pandas rows of one group) -> (a, b, c). A group of many rows makes many chunks."""
+def units(spark: SparkSession, rows: int) -> int:
+    """How many units `rows` rows make: one for each chunk up to the session's partitions, more once they are full."""
+    return max(1, min(partitions(spark), -(-rows // CHUNK)), -(-rows // UNIT))
+
+
+def unit_of(grp: Column, salt: Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(grp.cast("int"), salt.cast("int")), F.lit(n)).cast("int")
+
+
+def chunked(rows: DataFrame, n_units: int, pack, name: str, order: list[str] = ()) -> DataFrame:
+    """rows (grp int, _id, ..) as one row for each chunk: unit, grp, a, b, c binary. pack(pandas rows of one group, by order and _id) -> (a, b, c). A group of many rows makes many chunks."""
     spark = rows.sparkSession
     counts = rows.groupBy("grp").count().select(F.col("grp").alias("_g"), F.ceil(F.col("count") / CHUNK).cast("int").alias("salts"))
-    counts = kept(counts, f"{name}-groups")
-    salted = rows.join(counts, F.col("grp") == F.col("_g")).withColumn("salt", F.pmod(F.xxhash64("_id"), F.col("salts")).cast("int")).drop("_g", "salts")
+    salted = rows.join(kept(counts, f"{name}-groups"), F.col("grp") == F.col("_g")).withColumn("salt", F.pmod(F.xxhash64("_id"), F.col("salts")).cast("int")).drop("_g", "salts")
+    salted = salted.withColumn("unit", unit_of(F.col("grp"), F.col("salt"), n_units))
 
     def run(batches):
         import pandas as pd
@@ -58,44 +68,51 @@ def chunked(rows: DataFrame, pack, name: str) -> DataFrame:
         for g in grouped(batches, ["grp", "salt"]):
             for lo in range(0, len(g), 2 * CHUNK):
                 a, b, c = pack(g.iloc[lo : lo + 2 * CHUNK])
-                yield pd.DataFrame({"grp": [g["grp"].iloc[0]], "salt": [g["salt"].iloc[0]], "a": [a], "b": [b], "c": [c]})
+                yield pd.DataFrame({"unit": [g["unit"].iloc[0]], "grp": [g["grp"].iloc[0]], "a": [a], "b": [b], "c": [c]})
 
-    spread = salted.repartition(partitions(spark), "grp", "salt").sortWithinPartitions("grp", "salt", "_id")
-    return kept(spread.mapInPandas(frugal(run), "grp int, salt int, a binary, b binary, c binary"), f"{name}-chunks")
+    spread = salted.repartition(partitions(spark), "grp", "salt").sortWithinPartitions("grp", "salt", *order, "_id")
+    return kept(spread.mapInPandas(frugal(run), "unit int, grp int, a binary, b binary, c binary"), f"{name}-chunks")
 
 
-def best(queries: DataFrame, chunks: DataFrame, search, top: int, score_type: str) -> DataFrame:
-    """query_id, rank, vec_id, score: the top rows for each query.
+def found(queries: DataFrame, chunks: DataFrame, n_units: int, opened, score_type: str) -> DataFrame:
+    """query_id, vec_id, score: what is best for each query in each of its units.
 
-    queries: _id, a, b, c binary. search(ids, [a], [b], [c]) takes a block and returns (look, done): look(a, b, c) takes one chunk, done() gives (query_id, vec_id, score) arrays.
+    queries: unit, _id, a, b, c binary. opened([(grp, a, b, c)]) takes a unit's chunks and returns search(ids, [a], [b], [c]) of a block of queries -> (query_id, vec_id, score) arrays.
     """
-    queries = kept(queries, "search-queries")
-    blocks = max(1, -(-queries.count() // BLOCK))
-    q = queries.select(F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), F.lit(0).alias("kind"), F.col("_id").alias("id"), "a", "b", "c")
-    c = chunks.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("grp", "salt"), F.lit(PARTS)).cast("int").alias("part"), F.lit(1).alias("kind"), F.col("grp").cast("long").alias("id"), "a", "b", "c")
+    q = queries.select("unit", F.lit(1).alias("kind"), F.col("_id").alias("id"), "a", "b", "c")
+    c = chunks.select("unit", F.lit(0).alias("kind"), F.col("grp").cast("long").alias("id"), "a", "b", "c")
 
     def run(batches):
         import pandas as pd
 
-        key, held, look, done = None, [], None, None
+        def out():
+            ids, *columns = zip(*block, strict=True)
+            return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), search(np.array(ids, np.int64), *columns), strict=True)))
+
+        unit, held, block, search = None, [], [], None
         for batch in batches:
-            for block, part, kind, id_, a, b, c in zip(*(batch[x].tolist() for x in ("block", "part", "kind", "id", "a", "b", "c")), strict=True):
-                if (block, part) != key:
-                    if done:
-                        yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), done(), strict=True)))
-                    key, held, look, done = (block, part), [], None, None
+            for u, kind, id_, a, b, c in zip(*(batch[x].tolist() for x in ("unit", "kind", "id", "a", "b", "c")), strict=True):
+                if u != unit:
+                    if block:
+                        yield out()
+                    unit, held, block, search = u, [], [], None
                 if kind == 0:
                     held.append((id_, a, b, c))
                 elif held:
-                    if look is None:
-                        ids, *columns = zip(*held, strict=True)
-                        look, done = search(np.array(ids, np.int64), *columns)
-                    look(a, b, c)
-        if done:
-            yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), done(), strict=True)))
-
-    n = max(partitions(queries.sparkSession), min(blocks * PARTS, 10_000))
-    found = q.unionAll(c).repartition(n, "block", "part").sortWithinPartitions("block", "part", "kind", "id").mapInPandas(frugal(run), f"query_id long, vec_id long, score {score_type}")
+                    if search is None:
+                        search, held = opened(held), [None]
+                    block.append((id_, a, b, c))
+                    if len(block) == BLOCK:
+                        yield out()
+                        block = []
+        if block:
+            yield out()
+
+    return q.unionAll(c).repartitionById(n_units, "unit").sortWithinPartitions("unit", "kind", "id").mapInPandas(frugal(run), f"query_id long, vec_id long, score {score_type}")
+
+
+def ranked(found: DataFrame, top: int) -> DataFrame:
+    """query_id, rank, vec_id, score: greater scores first, ties to smaller vec_id."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
