@@ -113,3 +113,22 @@ def test_given_table(spark):
     held = queries.op2_language_id(spark, "/root/testdata/sf0.01").join(docs, "doc_id").filter("held_out and lang is not null")
     right, n = held.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.count("*")).first()
     assert n > 200 and right > 0.97
+
+
+def test_scores_are_calibrated(spark):
+    """Short texts of two alike languages: the mean score of rows that weren't learned is near the share of right ones."""
+    r = random.Random(4)
+    weights = {"aa": (6, 5, 4, 3, 2, 1), "bb": (3, 4, 3, 4, 3, 4)}
+    text = lambda x: " ".join("".join(r.choices("abcdef", weights[x], k=r.randint(2, 6))) for _ in range(r.randint(1, 12)))
+    rows = [(i, text(x), x) for i, x in enumerate(r.choices(["aa", "bb"], k=6000))]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.col("doc_id") % 3 != 1).filter("held_out").collect()
+    truth = {i: x for i, _, x in rows}
+    right = sum(g.lang_pred == truth[g.doc_id] for g in got) / len(got)
+    assert 0.6 < right < 0.97 and abs(sum(g.score for g in got) / len(got) - right) < 0.02
+
+
+def test_what_calibrates_is_not_counted(spark):
+    rows = spark.createDataFrame([(f"text {i // 2}", "aa") for i in range(4000)] + [(f"few {i}", "bb") for i in range(10)], "_text string, _lang string")
+    counted, spared = language_id.apart(rows)
+    a, b = {r._text for r in counted.collect()}, {r._text for r in spared.collect()}
+    assert not a & b and counted.count() + spared.count() == 4010 and 60 < len(b) < 140 and {f"few {i}" for i in range(10)} <= a

@@ -4,8 +4,12 @@ All training rows are counted, in the tasks, as runs of `order` characters; Spar
 counts of the lower orders. Up to MODEL_CELLS, the driver turns the counts into probabilities of all languages for each run, in
 arrays sorted by the runs' hashes, and broadcasts them. Beyond that the tables stay in Spark (Wide): only frequent runs are
 broadcast, to be added up in the tasks, and all other runs of the documents are joined with the tables; no run is dropped, and both
-ways give the same numbers. The language of least cross-entropy per character wins. A temperature for the score, and each
-language's limit of cross-entropy beyond which `accepted` is false, are fitted on about CALIBRATION training rows.
+ways give the same numbers. The language of least cross-entropy per character wins.
+
+The score is calibrated, and so is each language's limit of cross-entropy beyond which `accepted` is false, on training rows that aren't counted:
+about CALIBRATION, as many of each language, but a twentieth of its rows at most, picked by a hash of their texts, so that copies go
+together. The score's exponent of the number of characters and its temperature are those of least log loss. Languages of under 20 rows are
+counted whole and take the greatest limit of the others.
 
 Letters are folded to lower case, everything else is one blank. Null texts, and those without a letter, are `und` with score
 0. So is all if nothing can be learned (no training rows). Ties go to the language first in code point order. Repeated rows are
@@ -21,11 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.shared import frugal, kept, mix, small_batches, some_rows
+from tidemill.functions.steps import scratch
+from tidemill.llm.shared import frugal, kept, mix, small_batches
 
 ORDER = 4
 MODEL_CELLS = 4_000_000
-CALIBRATION = 2_000
+CALIBRATION = 4_000
 #: Characters that are treated at once.
 PIECE = 400_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -94,7 +99,7 @@ class Model:
         self.runs: list[tuple[np.ndarray, np.ndarray]] = []
         self.weights: list[tuple[np.ndarray, np.ndarray]] = []
         self.floor = np.zeros(len(langs), np.float32)
-        self.temperature, self.limits = 0.1, np.full(len(langs), np.inf)
+        self.temperature, self.power, self.limits = 0.1, 0.0, np.full(len(langs), np.inf)
 
     @staticmethod
     def _find(table, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,8 +132,8 @@ class Model:
         out[miss] = rest
         return out
 
-    def cross_entropies(self, texts: list[str | None]) -> np.ndarray:
-        """Mean -log P per character, a row for each text; NaN for texts without letters."""
+    def cross_entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Mean -log P per character, a row for each text, NaN for texts without letters; and the numbers of characters."""
         xs = [codes(t) if isinstance(t, str) else np.zeros(0, np.uint32) for t in texts]
         total, n = np.zeros((len(xs), len(self.langs))), np.zeros(len(xs))
         for x, spans in padded(xs, self.order):
@@ -140,24 +145,24 @@ class Model:
                 total[i] -= s
                 n[i] += hi - lo
         with np.errstate(invalid="ignore", divide="ignore"):
-            return np.where(n[:, None] > 0, total / n[:, None], np.nan)
+            return np.where(n[:, None] > 0, total / n[:, None], np.nan), n
 
     def predict(self, texts: list[str | None]):
         """(language or und, score, accepted) for each text."""
         if not self.langs:
             return [("und", 0.0, False)] * len(texts)
-        return decided(self.cross_entropies(texts), self.langs, self.temperature, self.limits)
+        return decided(*self.cross_entropies(texts), self.langs, self.temperature, self.power, self.limits)
 
 
-def decided(ce, langs: list[str], temperature: float, limits: np.ndarray):
+def decided(ce, chars, langs: list[str], temperature: float, power: float, limits: np.ndarray):
     """(language or und, score, accepted) for each row of cross-entropies."""
     out = []
-    for row in ce:
+    for row, n in zip(ce, chars, strict=True):
         if np.isnan(row[0]):
             out.append(("und", 0.0, False))
             continue
         best = int(np.argmin(row))
-        p = 1 / np.exp((row[best] - row) / temperature).sum()
+        p = 1 / np.exp((row[best] - row) * n**power / temperature).sum()
         out.append((langs[best], float(p), bool(row[best] <= limits[best])))
     return out
 
@@ -181,7 +186,7 @@ class Wide:
         self.weights: dict[int, DataFrame] = {}
         self.base = np.zeros(len(langs))
         self.often = None
-        self.temperature, self.limits = 0.1, np.full(len(langs), np.inf)
+        self.temperature, self.power, self.limits = 0.1, 0.0, np.full(len(langs), np.inf)
 
     def probabilities(self, need: DataFrame, k: int) -> DataFrame:
         """g, p (P(last character | those before) by language) for the distinct runs g of k characters in need."""
@@ -211,7 +216,7 @@ class Wide:
         self.often = counts.sparkSession.sparkContext.broadcast(_sorted(got["g"].tolist(), logs, self.order))
 
     def cross_entropies(self, rows: DataFrame, kind: str) -> DataFrame:
-        """_id, _held and ce (mean -log P per character by language; null for texts without letters) for each row of rows (_id of type kind, _held, _text)."""
+        """_id, _held, n (characters) and ce (mean -log P per character by language; null for texts without letters) for each row of rows (_id of type kind, _held, _text)."""
         order, width, often = self.order, len(self.langs), self.often
 
         def run(batches):
@@ -246,7 +251,7 @@ class Wide:
         sums = heads.select("row", "part").unionAll(logs).select("row", F.posexplode("part").alias("at", "s")).groupBy("row", "at").agg(F.sum("s").alias("s"))
         sums = sums.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "s"))).alias("sums"))
         ce = F.when(F.col("n") > 0, F.expr("transform(sums, x -> -x.s / n)"))
-        return heads.select("row", "_id", "_held", "n").join(sums, "row").select("_id", "_held", ce.alias("ce"))
+        return heads.select("row", "_id", "_held", "n").join(sums, "row").select("_id", "_held", "n", ce.alias("ce"))
 
 
 def _frequent(df: DataFrame, most: int) -> DataFrame:
@@ -357,60 +362,82 @@ def _sorted(grams: list[str], logs: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return h[order], logs[order].astype(np.float32)
 
 
-def calibrate(model: Model | Wide, rows: DataFrame, text_col: str, lang_col: str) -> Model | Wide:
-    """The temperature of least log loss, and for each language the cross-entropy that 99.5 % of its texts keep, with a tenth to spare."""
+def apart(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (_text, _lang) to be counted, and those to calibrate on. One count of rows for each language goes to the driver."""
+    spark, whole = rows.sparkSession, 1 << 30
+    n = [(r["_lang"], r["count"]) for r in rows.groupBy("_lang").count().collect()]
+    each = max(20, CALIBRATION // max(1, len(n)))
+    cuts = spark.createDataFrame([(x, int(whole * min(0.05, each / c)) if c >= 20 else 0) for x, c in n], "_cut_lang string, _cut long")
+    marked = rows.join(F.broadcast(cuts), F.col("_lang") == F.col("_cut_lang"))
+    picked = F.pmod(F.xxhash64("_text"), F.lit(whole)) < F.col("_cut")
+    return marked.filter(~picked).select("_text", "_lang"), marked.filter(picked).select("_text", "_lang")
+
+
+def calibrate(model: Model | Wide, rows: DataFrame) -> Model | Wide:
+    """The score's exponent and temperature of least log loss over rows (_text, _lang), and for each language the cross-entropy that 99.5 % of its texts keep, with a tenth to spare."""
     if not model.langs:
         return model
     held = None if isinstance(model, Wide) else rows.sparkSession.sparkContext.broadcast(model)
-    some = rows.select(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).filter("_text is not null and _lang is not null")
-    some = some_rows(some, ["_text", "_lang"], CALIBRATION).groupBy(F.xxhash64("_text").alias("_h"), "_lang").agg(F.first("_text").alias("_text"))  # copies count once
+    some = rows.groupBy(F.xxhash64("_text").alias("_h"), "_lang").agg(F.first("_text").alias("_text"))  # copies count once
 
     def scored(batches):
         import pandas as pd
 
         for batch in batches:
-            ce = held.value.cross_entropies(batch["_text"].tolist())
-            yield pd.DataFrame({"lang": batch["_lang"].reset_index(drop=True), "ce": list(ce)})
+            ce, n = held.value.cross_entropies(batch["_text"].tolist())
+            yield pd.DataFrame({"lang": batch["_lang"].reset_index(drop=True), "n": n.astype(np.int64), "ce": list(ce)})
 
     if isinstance(model, Wide):
-        every = model.cross_entropies(some.select(F.col("_lang").alias("_id"), F.lit(True).alias("_held"), "_text"), "string").select(F.col("_id").alias("lang"), "ce")
+        every = model.cross_entropies(some.select(F.col("_lang").alias("_id"), F.lit(True).alias("_held"), "_text"), "string").select(F.col("_id").alias("lang"), "n", "ce")
     else:
-        every = some.mapInPandas(frugal(scored), "lang string, ce array<double>")
-    got = [r for r in every.collect() if r["ce"] and r["ce"][0] is not None and r["ce"][0] == r["ce"][0]]
+        every = some.mapInPandas(frugal(scored), "lang string, n long, ce array<double>")
+    known = set(model.langs)
+    got = [r for r in every.collect() if r["n"] and r["lang"] in known]
     if not got:
         return model
     truth = np.array([model.langs.index(r["lang"]) for r in got])
-    ce = np.array([r["ce"] for r in got])
+    ce, n = np.array([r["ce"] for r in got]), np.array([r["n"] for r in got], float)
     own = ce[np.arange(len(ce)), truth]
+    doubt = 1 / (len(got) + 2)  # no sample shows that there are no mistakes at all
 
-    def loss(temperature: float) -> float:
-        z = -(ce - ce.min(axis=1, keepdims=True)) / temperature
-        return float(np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), truth]))
+    def loss(power: float, temperature: float) -> float:
+        z = -(ce - ce.min(axis=1, keepdims=True)) * (n**power)[:, None] / temperature
+        logs = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+        right = logs[np.arange(len(z)), truth]
+        others = (logs.sum(axis=1) - right) / max(1, len(model.langs) - 1)
+        return float(np.mean(-(1 - doubt) * right - doubt * np.maximum(others, -700)))
 
-    model.temperature = min(np.geomspace(0.02, 2, 40), key=loss)
+    model.power, model.temperature = min(((p, t) for p in (0.0, 0.25, 0.5, 0.75, 1.0) for t in np.geomspace(0.01, 1000, 60)), key=lambda x: loss(*x))
     for i in range(len(model.langs)):
         if (truth == i).any():
             model.limits[i] = 1.1 * np.quantile(own[truth == i], 0.995)
+    finite = np.isfinite(model.limits)
+    model.limits[~finite] = model.limits[finite].max(initial=-np.inf) if finite.any() else np.inf
     return model
 
 
 def identify(docs: DataFrame, learn: Column, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row for each row of docs: its id, held_out (not learn), lang_pred, score (0 to 1) and accepted. learn: which rows to learn from."""
     small_batches(docs.sparkSession)
-    training = docs.filter(learn)
-    model = calibrate(train(training, text_col, lang_col, order), training, text_col, lang_col)
+    counted, spared = apart(docs.filter(learn).select(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).filter("_text is not null and _lang is not null"))
+    with scratch(docs.sparkSession) as last:
+        model = train(counted, "_text", "_lang", order)
+        if isinstance(model, Wide):
+            for df in [*model.runs.values(), *model.weights.values()]:
+                last(df)
+        model = calibrate(model, spared)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.coalesce(~learn, F.lit(True)).alias("_held"))
     schema = f"_id {kind}, held_out boolean, lang_pred string, score double, accepted boolean"
     if isinstance(model, Wide):
-        langs, temperature, limits = model.langs, model.temperature, model.limits
+        langs, temperature, power, limits = model.langs, model.temperature, model.power, model.limits
 
         def decide(batches):
             import pandas as pd
 
             for batch in batches:
                 ce = [np.full(len(langs), np.nan) if x is None else x for x in batch["ce"]]
-                lang, score, accepted = zip(*decided(ce, langs, temperature, limits), strict=True) if len(ce) else ((), (), ())
+                lang, score, accepted = zip(*decided(ce, batch["n"].tolist(), langs, temperature, power, limits), strict=True) if len(ce) else ((), (), ())
                 yield pd.DataFrame({"_id": batch["_id"], "held_out": batch["_held"], "lang_pred": lang, "score": score, "accepted": accepted})
 
         return model.cross_entropies(rows, kind).mapInPandas(decide, schema).withColumnRenamed("_id", id_col)
