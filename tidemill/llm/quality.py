@@ -9,7 +9,7 @@ is scored, whole.
 
 Null and empty texts pool to zeros and get the score that the network gives these. Labels: null ones are left out, of several for
 one id the lowest counts; without any label, or with one class only, every score is that class's share (0.5 without). Repeated rows are
-scored each by itself; other columns don't matter.
+scored each by itself; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,8 +21,10 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemill.llm.shared import frugal, kept, small_batches, some_rows
+from tidemill.functions.steps import scratch
+from tidemill.llm.shared import frugal, kept, numbered, small_batches, some_rows, unused
 
 SAMPLE = 12_000
 ROWS, WIDTH, NONZERO, NEAR = 1 << 14, 64, 6, 2
@@ -226,23 +228,35 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_c
 
 
 def classify(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", carry: bool = False) -> DataFrame:
-    """One row for each row of docs: its id, held_out (not learn), score (of label 1) and predicted (score >= threshold). carry: docs with `_score` instead."""
+    """One row for each row of docs: its id, held_out (not learn), score (of label 1) and predicted (score >= threshold).
+
+    carry: all columns of docs instead, whatever their names, and the score as the last one, `_score` (with more underscores where docs has that).
+    """
     small_batches(docs.sparkSession)
-    vectors, network = train(docs, labels, learn, id_col, text_col, label_col)
+    with scratch(docs.sparkSession):
+        vectors, network = train(docs, labels, learn, id_col, text_col, label_col)
     held = docs.sparkSession.sparkContext.broadcast((vectors, network))
 
+    def scores(texts) -> np.ndarray:
+        vectors, network = held.value
+        return np.concatenate([network.scores(np.stack([pooled(t, vectors) for t in texts[lo : lo + 512]]).astype(np.float64)) for lo in range(0, len(texts), 512)] or [np.zeros(0)])
+
+    if carry:
+        plain, (text,) = numbered(docs, text_col)
+
+        def beside(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores(batch.column(text).to_pylist()), pa.float64())], [*batch.schema.names, "_score"])
+
+        schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in plain.schema), T.StructField("_score", T.DoubleType())])
+        return plain.mapInArrow(frugal(beside), schema).toDF(*docs.columns, unused("_score", docs))
+
     def run(batches):
         for batch in batches:
-            vectors, network = held.value
-            for lo in range(0, len(batch), 512):
-                part = batch.iloc[lo : lo + 512].reset_index(drop=True)
-                score = network.scores(np.stack([pooled(t, vectors) for t in part[text]]).astype(np.float64)) if len(part) else []
-                yield (part if carry else part.drop(columns="_text")).assign(_score=score)
-
-    text = text_col if carry else "_text"
-    rows = docs if carry else docs.select(F.col(id_col).alias("_id"), F.coalesce(~learn, F.lit(True)).alias("_held"), F.col(text_col).alias("_text"))
-    head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "_text")
-    out = rows.mapInPandas(frugal(run), f"{head}_score double")
-    if carry:
-        return out
+            yield batch.drop(columns="_text").assign(_score=scores(batch["_text"].tolist()))
+
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(~learn, F.lit(True)).alias("_held"), F.col(text_col).alias("_text"))
+    out = rows.mapInPandas(frugal(run), f"_id {docs.schema[id_col].dataType.simpleString()}, _held boolean, _score double")
     return out.select(F.col("_id").alias(id_col), F.col("_held").alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
