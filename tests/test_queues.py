@@ -328,7 +328,8 @@ def test_streams(spark, tmp_path):
     from tidemill.streaming import leases
 
     t = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
-    rows = [(1, "send", t(0)), (1, "claim", t(1)), (1, "claim", t(2)), (1, "claim", t(70)), (1, "claim", t(200)), (1, "ack", t(201)), (2, "claim", t(5))]
+    rows = [(1, "send", t(0)), (1, "claim", t(1)), (1, "claim", t(2)), (1, "claim", t(70)), (1, "claim", t(120)), (1, "ack", t(121)), (2, "claim", t(5))]
+    rows += [(3, "send", t(0)), (3, "claim", t(30)), (4, "send", t(0)), (4, "claim", t(1)), (4, "claim", t(65)), (5, "send", t(300))]  # 3 and 4 are never acknowledged
     path = str(tmp_path / "events")
     spark.createDataFrame(rows, "id long, kind string, at timestamp").write.parquet(path)
     stream = lambda: spark.readStream.schema("id long, kind string, at timestamp").parquet(path)
@@ -339,5 +340,8 @@ def test_streams(spark, tmp_path):
         return spark.table(name).collect()
 
     got = sorted((r.id, r.at, r.outcome) for r in run(leases.leases(stream(), timedelta(seconds=60), 2), "leases"))
-    assert [o for i, _, o in got if i == 1] == ["sent", "claimed", "refused", "claimed", "refused", "acked"] and [o for i, _, o in got if i == 2] == ["unknown"]
-    assert len(run(leases.unique_within(stream(), "id", "at", timedelta(minutes=10)), "uniq")) == 2
+    assert [o for i, _, o in got if i == 1] == ["sent", "claimed", "refused", "expired", "claimed", "refused", "acked"] and [o for i, _, o in got if i == 2] == ["unknown"]
+    # their leases run out on the timer, without an event of their own
+    assert [o for i, _, o in got if i == 3] == ["sent", "claimed", "expired"] and [o for i, _, o in got if i == 4] == ["sent", "claimed", "expired", "claimed", "dead"]
+    assert [x for i, x, _ in got if i == 3][-1] == t(90)
+    assert len(run(leases.unique_within(stream(), "id", "at", timedelta(minutes=10)), "uniq")) == 5

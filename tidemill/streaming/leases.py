@@ -24,38 +24,54 @@ def counts_by_window(messages: DataFrame, key: str, time: str, width: timedelta,
     return rows.groupBy(F.window(time, f"{int(width.total_seconds())} seconds"), key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), key, "n")
 
 
-def leases(events: DataFrame, visibility: timedelta, attempts: int) -> DataFrame:
-    """Claims and acknowledgements by message: events (id long, kind of send, claim or ack, at timestamp) to (id, outcome, attempts_left, at).
+def leases(events: DataFrame, visibility: timedelta, attempts: int, late: timedelta = timedelta(0)) -> DataFrame:
+    """Claims, acknowledgements and lapsed leases by message: events (id long, kind of send, claim or ack, at timestamp) to (id, outcome, attempts_left, at).
 
-    Outcomes: sent, claimed, acked, refused (a claim while leased or out of attempts), unknown. One small state for each live
-    message, dropped with its acknowledgement.
+    Outcomes: sent, claimed, acked, refused (a claim while leased or out of attempts), unknown, expired (its lease ran out: it is to be had
+    again), dead (ran out with its last attempt). Leases run out by event time, on a timer of the watermark, `late` behind the latest event. One small
+    state for each live message, dropped when it is acknowledged or dead. Events of one message in a trigger go by time.
     """
     lease = visibility.total_seconds()
 
     def step(key: tuple, batches: Iterator, state: GroupState):
         import pandas as pd
 
-        id_ = key[0]
-        left, until = state.get if state.exists else (-1, 0.0)
-        out = []
-        for e in sorted((r for b in batches for r in b.itertuples(index=False)), key=lambda r: (r.at, r.kind != "send")):
-            at = e.at.timestamp()
-            if e.kind == "send":
-                outcome = "sent" if left < 0 else "refused"
-                left, until = (attempts, at) if left < 0 else (left, until)
-            elif left < 0:
-                outcome = "unknown"
-            elif e.kind == "claim":
-                outcome = "claimed" if left > 0 and at >= until else "refused"
-                left, until = (left - 1, at + lease) if outcome == "claimed" else (left, until)
-            else:
-                outcome, left, until = "acked", -1, 0.0
-            out.append((id_, outcome, max(left, 0), e.at))
+        id_, out = key[0], []
+        left, until, leased = state.get if state.exists else (-1, 0.0, False)
+
+        def lapse() -> None:
+            nonlocal left, leased
+            leased = False
+            out.append((id_, "expired" if left > 0 else "dead", left, pd.Timestamp(until, unit="s")))
+            left = left if left > 0 else -1
+
+        if state.hasTimedOut:
+            if leased:
+                lapse()
+        else:
+            for e in sorted((r for b in batches for r in b.itertuples(index=False)), key=lambda r: (r.at, r.kind != "send")):
+                at = e.at.timestamp()
+                if leased and at >= until:
+                    lapse()
+                if e.kind == "send":
+                    outcome = "sent" if left < 0 else "refused"
+                    left, until = (attempts, at) if left < 0 else (left, until)
+                elif left < 0:
+                    outcome = "unknown"
+                elif e.kind == "claim":
+                    outcome = "claimed" if left > 0 and not leased else "refused"
+                    left, until, leased = (left - 1, at + lease, True) if outcome == "claimed" else (left, until, leased)
+                else:
+                    outcome, left, leased = "acked", -1, False
+                out.append((id_, outcome, max(left, 0), e.at))
         if left < 0:
             if state.exists:
                 state.remove()
         else:
-            state.update((left, until))
+            state.update((left, until, leased))
+            if leased:
+                state.setTimeoutTimestamp(max(int(until * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["id", "outcome", "attempts_left", "at"])
 
-    return events.groupBy("id").applyInPandasWithState(step, "id long, outcome string, attempts_left int, at timestamp", "left int, until double", "append", GroupStateTimeout.NoTimeout)
+    rows = events.withWatermark("at", f"{int(late.total_seconds())} seconds")
+    return rows.groupBy("id").applyInPandasWithState(step, "id long, outcome string, attempts_left int, at timestamp", "left int, until double, leased boolean", "append", GroupStateTimeout.EventTimeTimeout)
