@@ -41,3 +41,57 @@ def test_network_fits_and_is_calibrated():
     assert ((s > 0.5) == (p[2000:] > 0.5)).mean() > 0.8
     assert net.temperature >= 1  # it was too sure of itself
     assert abs(s.mean() - y[2000:].mean()) < 0.08
+
+
+TEXTS = ["One fish, two fish fish red.\nOne fish\nOne fish", "42 BLUE fish! fish", "", None, "x", "Ünï code__ __ A aB"]
+
+
+def test_vectors_are_random_indexes_of_neighbours():
+    import zlib
+
+    index = quality.random_indexes()
+    assert ((index != 0).sum(axis=1) == quality.NONZERO).all() and np.allclose((index * index).sum(axis=1), 1)
+    row = lambda w: zlib.crc32(w.encode()) % quality.ROWS
+    want = np.zeros((quality.ROWS, quality.WIDTH))
+    for text in TEXTS:
+        words = quality.tokens(text)
+        for i, w in enumerate(words):
+            for j, v in enumerate(words):
+                if 0 < abs(i - j) <= quality.NEAR:
+                    want[row(w)] += index[row(v)]
+        for m, n in quality.marks(text, words).items():
+            want[row(m)] += n * np.mean([index[row(w)] for w in words], axis=0)
+    sums = quality.neighbour_sums(TEXTS, index)
+    assert np.allclose(sums, want, atol=1e-5)
+    vectors = quality.word_vectors(sums, index)
+    for w in ("fish", "One", "never seen"):
+        size = np.linalg.norm(want[row(w)])
+        assert np.allclose(vectors[row(w)], index[row(w)] + (want[row(w)] / size if size else 0), atol=1e-5)
+    for text in TEXTS:
+        words = quality.tokens(text)
+        if words:
+            own = sum(vectors[row(w)] for w in words) / len(words)
+            form = sum(n * vectors[row(m)] for m, n in quality.marks(text, words).items()) / len(words)
+            assert np.allclose(quality.pooled(text, vectors), np.concatenate([own, form]), atol=1e-4)
+        else:
+            assert not quality.pooled(text, vectors).any()
+
+
+def test_gradient_is_the_slope_of_the_loss():
+    r = np.random.default_rng(3)
+    params = [r.normal(size=(6, 4)), r.normal(size=4), r.normal(size=4), r.normal(size=1)]
+    z, y = r.normal(size=(20, 6)), (r.random(20) < 0.5).astype(float)
+
+    def loss():
+        s = np.maximum(z @ params[0] + params[1], 0) @ params[2] + params[3]
+        return np.mean(np.logaddexp(0, s) - y * s) + quality.DECAY / 2 * ((params[0] ** 2).sum() + (params[2] ** 2).sum())
+
+    for p, g in zip(params, quality.Network.gradients(params, z, y), strict=True):
+        for at in np.ndindex(p.shape):
+            was = p[at]
+            p[at] = was + 1e-6
+            up = loss()
+            p[at] = was - 1e-6
+            down = loss()
+            p[at] = was
+            assert abs((up - down) / 2e-6 - g[at]) < 1e-5

@@ -72,3 +72,25 @@ def test_given_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     check([tuple(r) for r in docs.select("doc_id", "text", "source").collect()], source_mix.mix(docs, [3, 1, 2]).collect())
     assert docs.filter(F.col("text").isNull()).count() == 0
+
+
+def test_rates_are_those_of_a_plain_solver(spark):
+    import math
+
+    rows = [(i, "w " * (1 + (i * 7919) % 97), f"s{i % 3}") for i in range(900)] + [(5000 + i, "w " * 700, "s1") for i in range(40)]
+    got = source_mix.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), [3, 1, 2]).collect()
+    sizes = {}
+    for r in got:
+        sizes.setdefault(rows[r.doc_id][2] if r.doc_id < 900 else "s1", []).append(r.size)
+    targets = brute_targets({s: sum(x) for s, x in sizes.items()})
+    for s, own in sizes.items():
+        if targets[s] >= 2 * sum(own):
+            continue
+        mean, lo, hi = sum(own) / len(own), -100.0, 100.0
+        rate = lambda lam, n: min(2.0, math.exp(min(lam * n / mean, 4)))  # noqa: B023, E731
+        for _ in range(200):
+            lam = (lo + hi) / 2
+            lo, hi = (lam, hi) if sum(n * rate(lam, n) for n in own) < targets[s] else (lo, lam)
+        mine = [r for r in got if r.size in own and r.source_size == sum(own)]
+        assert mine and all(abs(r.rate - rate(lam, r.size)) < 1e-5 for r in mine)
+        assert sum(abs(r.copies - r.rate) >= 1 for r in mine) <= 6 and abs(sum(r.copies for r in mine) - sum(r.rate for r in mine)) < 8

@@ -28,7 +28,7 @@ from tidemill.llm.shared import frugal, kept, numbered, small_batches, some_rows
 
 SAMPLE = 12_000
 ROWS, WIDTH, NONZERO, NEAR = 1 << 14, 64, 6, 2
-HIDDEN, EPOCHS, BATCH = 32, 40, 128
+HIDDEN, EPOCHS, BATCH, DECAY = 32, 40, 128, 1e-4
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 _BLOCKS = 64
 
@@ -140,6 +140,15 @@ class Network:
     def scores(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -40, 40)))
 
+    @staticmethod
+    def gradients(params: list[np.ndarray], z: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        """Of the mean log loss and half of DECAY times the squared weights."""
+        w1, b1, w2, b2 = params
+        h = np.maximum(z @ w1 + b1, 0)
+        d = (1 / (1 + np.exp(-np.clip(h @ w2 + b2, -40, 40))) - y) / len(y)
+        back = np.outer(d, w2) * (h > 0)
+        return [z.T @ back + DECAY * w1, back.sum(axis=0), h.T @ d + DECAY * w2, np.array([d.sum()])]
+
     def fit(self, x: np.ndarray, y: np.ndarray) -> Network:
         """Adam on the log loss; then the temperature of least log loss on every tenth row, which Adam doesn't see."""
         r = np.random.default_rng(11)
@@ -158,10 +167,7 @@ class Network:
             order = r.permutation(len(z))
             for lo in range(0, len(order), BATCH):
                 i = order[lo : lo + BATCH]
-                h = np.maximum(z[i] @ params[0] + params[1], 0)
-                d = (1 / (1 + np.exp(-np.clip(h @ params[2] + params[3], -40, 40))) - truth[i]) / len(i)
-                back = np.outer(d, params[2]) * (h > 0)
-                grads = [z[i].T @ back + 1e-4 * params[0], back.sum(axis=0), h.T @ d + 1e-4 * params[2], np.array([d.sum()])]
+                grads = self.gradients(params, z[i], truth[i])
                 t += 1
                 for p, g, a, b in zip(params, grads, m, v, strict=True):
                     a += 0.1 * (g - a)
