@@ -36,9 +36,9 @@ def made(seed):
     return rows
 
 
-@pytest.mark.parametrize(("window", "hot", "seed"), [(20, 1000, 1), (20, 3, 2), (9, 1000, 3)])
-def test_brute(spark, monkeypatch, window, hot, seed):
-    monkeypatch.setattr(substring_dedup, "HOT", hot)
+@pytest.mark.parametrize(("window", "shard", "seed"), [(20, 1000, 1), (20, 3, 2), (9, 1000, 3)])
+def test_brute(spark, monkeypatch, window, shard, seed):
+    monkeypatch.setattr(substring_dedup, "SHARD", shard)
     monkeypatch.setattr(substring_dedup, "AUTOMATON_WORDS", 500)
     rows = made(seed)
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_words int").repartition(5)
@@ -56,6 +56,14 @@ def test_carry_and_edges(spark):
     assert spans == {1: ([], "s a b c d e f g h i j"), 2: ([1, 11], "q r")}
 
 
+def test_carry_keeps_white_space_and_names(spark):
+    shared = " ".join(f"w{i}" for i in range(8))
+    rows = [(1, f"a\n\tb {shared}\n\nz", 7), (2, f"c  d\t{shared} \n e\x0bf ", None), (3, f" {shared} ", 2**60 + 1), (4, "x\ny", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone long").toDF("doc_id", "text", "gone")
+    out = {r.doc_id: (r.text, r.gone) for r in substring_dedup.dedup(docs, 8, carry=True).collect()}
+    assert out == {1: (rows[0][1], 7), 2: ("c  d\te\x0bf ", None), 3: ("", 2**60 + 1), 4: ("x\ny", 5)}
+
+
 def test_reference(spark):
     docs = spark.createDataFrame([(1, "p a b c d e q a b c d"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r.spans for r in substring_dedup.matched(docs, spark.createDataFrame([("x a b c d e y",), (None,)], "text string"), 4).collect()}

@@ -7,28 +7,32 @@ through it for matching statistics, and so learns where each window starts first
 windows, less the windows that start first there, is removed in maximal spans.
 
 An automaton of the whole corpus grows with it and can't be broadcast; hence shards by anchor, and passages are
-shuffled to them. A given reference (bounded, see `matched`) is broadcast as automata. Anchors with over HOT passages are
-split: each of their windows goes by its own hash, reduced to its first start before the shuffle.
+shuffled to them. A given reference (bounded, see `matched`) is broadcast as automata. The passages of a frequent anchor make several shards
+of about SHARD each: they are sent as single windows, each to the shard of its hash, equal ones reduced to the first before the shuffle. All
+shards go through automata, which compare words (by 64-bit hashes of each); 96 bits tell texts apart until then.
 
 Null and empty texts have no words. Equal texts (repeated rows too) are told apart by doc_id; rows that repeat a doc_id are one
-document to the rule, and each is returned. Texts of any length are taken whole; other columns don't matter. Rows
+document to the rule, and each is returned. Texts of any length are taken whole; other columns don't matter, whatever their names. Rows
 whose id is null are left whole and make no other row a later one.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemill.llm.shared import NUMBER_ROWS, as_bytes, frugal, kept, maybe_in, mix, partitions, run_hashes, slices, small_batches, word_hashes
+from tidemill.functions.steps import scratch
+from tidemill.llm.shared import NUMBER_ROWS, as_bytes, frugal, kept, maybe_in, mix, numbered, partitions, run_hashes, slices, small_batches, word_hashes
 
 #: Words of an anchor; windows of 20 words then have about one anchor in eight words.
 ANCHOR = 7
-#: Passages of one anchor beyond which its windows are treated one by one.
-HOT = 1_000
+#: Passages of a shard, about; more passages of one anchor make more shards.
+SHARD = 256
 #: Words of one automaton; beyond that a new one begins at the next anchor.
 AUTOMATON_WORDS = 60_000
 _SALT = np.uint64(0xA0761D6478BD642F)
@@ -156,69 +160,63 @@ def removed_runs(docs: DataFrame, window: int) -> DataFrame:
     spark = docs.sparkSession
     n = partitions(spark)
     named = docs.filter("_id is not null and _text is not null")
-    own = kept(named.select("_id", F.xxhash64("_text").alias("fp"), F.md5("_text").alias("md5")), "dedup-prints")
-    reps = kept(own.groupBy("fp", "md5").agg(F.min("_id").alias("rep")), "dedup-texts")
+    prints = [F.xxhash64("_text").alias("fp"), F.hash("_text").alias("fp2")]
+    own = kept(named.select("_id", *prints, F.md5("_text").alias("md5")), "dedup-prints")
+    reps = kept(own.groupBy("fp", "fp2", "md5").agg(F.min("_id").alias("rep")), "dedup-texts")
 
     def anchors(batches):
         import pandas as pd
 
-        seen: set[int] = set()
+        names = ("a", "fp", "fp2", "lo", "more", "again")
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            fps = batch["fp"].tolist()
-            new = [f not in seen and not seen.add(f) for f in fps]
+            new = [f not in seen and not seen.add(f) for f in zip(batch["fp"].tolist(), batch["fp2"].tolist(), strict=True)]
             part, total = [], 0
-            for fp, words in zip(batch["fp"][new].tolist(), _each(batch["_text"][new]), strict=True):
+            for fp, fp2, words in zip(batch["fp"][new].tolist(), batch["fp2"][new].tolist(), _each(batch["_text"][new]), strict=True):
                 a, lo, hi = anchored(words, window, ANCHOR)
                 if not len(a):
                     continue
                 _, one = np.unique(a, return_index=True)
                 again = np.ones(len(a), bool)
                 again[one] = False
-                part.append((a.view(np.int64), np.full(len(a), fp, np.int64), lo.astype(np.int32), (hi - lo).astype(np.int16), again))
+                part.append((a.view(np.int64), np.full(len(a), fp, np.int64), np.full(len(a), fp2, np.int32), lo.astype(np.int32), (hi - lo).astype(np.int16), again))
                 total += len(a)
                 if total > 300_000:
-                    yield pd.DataFrame(dict(zip(("a", "fp", "lo", "more", "again"), map(np.concatenate, zip(*part, strict=True)), strict=True)))
+                    yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*part, strict=True)), strict=True)))
                     part, total = [], 0
             if part:
-                yield pd.DataFrame(dict(zip(("a", "fp", "lo", "more", "again"), map(np.concatenate, zip(*part, strict=True)), strict=True)))
+                yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*part, strict=True)), strict=True)))
 
-    seen = named.select(F.xxhash64("_text").alias("fp"), "_text").mapInPandas(frugal(anchors), "a long, fp long, lo int, more short, again boolean")
+    seen = named.select(*prints, "_text").mapInPandas(frugal(anchors), "a long, fp long, fp2 int, lo int, more short, again boolean")
     found = kept(seen, "dedup-anchors")
-    repeated = found.groupBy("a").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.max("again").alias("again"), F.count("*").alias("n")).filter("low <> high or again").select("a", (F.col("n") > HOT).alias("hot"))
-    repeated = kept(repeated, "dedup-repeated")
-    places = found.join(repeated, "a").select("fp", F.struct("lo", "more", "a", "hot").alias("run"))
-    runs = kept(places.groupBy("fp").agg(F.sort_array(F.collect_set("run")).alias("runs")), "dedup-runs")  # of one text each
-    candidates = kept(reps.join(runs, "fp").select("rep", "runs"), "dedup-candidates")
+    repeated = found.groupBy("a").agg(*[f(x).alias(f"{n}{x}") for x in ("fp", "fp2") for n, f in (("low", F.min), ("high", F.max))], F.max("again").alias("again"), F.count("*").alias("n"))
+    repeated = kept(repeated.filter("lowfp <> highfp or lowfp2 <> highfp2 or again").select("a", F.ceil(F.col("n") / SHARD).cast("int").alias("shards")), "dedup-repeated")
+    places = found.join(repeated, "a").select("fp", "fp2", F.struct("lo", "more", "a", "shards").alias("run"))
+    runs = kept(places.groupBy("fp", "fp2").agg(F.sort_array(F.collect_set("run")).alias("runs")), "dedup-runs")  # of one text each
+    candidates = kept(reps.join(runs, ["fp", "fp2"]).select("rep", "runs"), "dedup-candidates")
     routed = maybe_in(candidates, "rep")(docs.select("_id", "_text"), F.col("_id")).join(candidates, F.col("_id") == F.col("rep"))
 
     def passages(batches):
         import pandas as pd
 
+        columns = ["key", "shard", "doc", "start", "words"]
         for batch in batches:
-            key, doc, start, words_, hot = [], [], [], [], []
+            rows = []
             for i, runs, words in zip(batch["rep"].tolist(), batch["runs"], _each(batch["_text"]), strict=True):
-                whole = run_hashes(words, window) if any(r["hot"] for r in runs) else None
+                whole = mix(run_hashes(words, window)) if any(r["shards"] > 1 for r in runs) else None
                 for r in runs:
-                    lo, hi = r["lo"], r["lo"] + r["more"]
-                    if r["hot"]:
-                        key += whole[lo : hi + 1].view(np.int64).tolist()
-                        start += range(lo, hi + 1)
-                        doc += [i] * (hi - lo + 1)
-                        words_ += [None] * (hi - lo + 1)
-                        hot += [True] * (hi - lo + 1)
+                    lo, hi, n = r["lo"], r["lo"] + r["more"], r["shards"]
+                    if n == 1:
+                        rows.append((r["a"], -1, i, lo, words[lo : hi + window].tobytes()))
                     else:
-                        key.append(r["a"])
-                        doc.append(i)
-                        start.append(lo)
-                        words_.append(words[lo : hi + window].tobytes())
-                        hot.append(False)
-                if len(key) > 50_000:
-                    yield pd.DataFrame({"key": key, "doc": doc, "start": start, "words": words_, "hot": hot})
-                    key, doc, start, words_, hot = [], [], [], [], []
-            if key:
-                yield pd.DataFrame({"key": key, "doc": doc, "start": start, "words": words_, "hot": hot})
-
-    sent = kept(routed.select("rep", "runs", "_text").mapInPandas(frugal(passages), "key long, doc long, start int, words binary, hot boolean"), "dedup-passages")
+                        rows += [(r["a"], s, i, p, words[p : p + window].tobytes()) for p, s in enumerate((whole[lo : hi + 1] % np.uint64(n)).tolist(), lo)]
+                if len(rows) > 50_000:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
+
+    sent = kept(routed.select("rep", "runs", "_text").mapInPandas(frugal(passages), "key long, shard int, doc long, start int, words binary"), "dedup-passages")
 
     def shards(batches):
         import pandas as pd
@@ -229,7 +227,7 @@ def removed_runs(docs: DataFrame, window: int) -> DataFrame:
 
         key, rows, groups, total = None, [], [], 0
         for batch in batches:
-            for k, d, s, w in zip(batch["key"].tolist(), batch["doc"].tolist(), batch["start"].tolist(), batch["words"], strict=True):
+            for k, d, s, w in zip(zip(batch["key"].tolist(), batch["shard"].tolist(), strict=True), batch["doc"].tolist(), batch["start"].tolist(), batch["words"], strict=True):
                 if k != key:
                     if rows:
                         groups.append(rows)
@@ -244,10 +242,10 @@ def removed_runs(docs: DataFrame, window: int) -> DataFrame:
         if groups:
             yield done(groups)
 
-    cold = sent.filter("not hot").select("key", "doc", "start", "words").repartition(n, "key").sortWithinPartitions("key")
-    first = cold.mapInPandas(frugal(shards), "doc long, lo int, hi int")
-    hot = sent.filter("hot").groupBy("key").agg(F.min(F.struct("doc", "start")).alias("one")).select(F.col("one.doc").alias("doc"), F.col("one.start").alias("lo"), F.col("one.start").alias("hi"))
-    firsts = kept(first.unionAll(hot).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("firsts")), "dedup-firsts", NUMBER_ROWS)  # of one document each
+    single = sent.filter("shard >= 0").groupBy("key", "shard", "words").agg(F.min(F.struct("doc", "start")).alias("one")).select("key", "shard", "one.doc", "one.start", "words")
+    every = sent.filter("shard < 0").unionAll(single.select("key", "shard", "doc", "start", "words"))
+    first = every.repartition(n, "key", "shard").sortWithinPartitions("key", "shard").mapInPandas(frugal(shards), "doc long, lo int, hi int")
+    firsts = kept(first.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("firsts")), "dedup-firsts", NUMBER_ROWS)  # of one document each
 
     # what is removed of a document, as runs of words; nothing for most
     def removed(batches):
@@ -274,35 +272,59 @@ def removed_runs(docs: DataFrame, window: int) -> DataFrame:
             yield pd.DataFrame({"doc": batch["rep"].reset_index(drop=True), "gone": out})
 
     gone = candidates.join(firsts, candidates["rep"] == firsts["doc"], "left").select("rep", "runs", "firsts").mapInPandas(frugal(removed), "doc long, gone array<int>").filter("size(gone) > 0")
-    names = reps.select(F.col("fp").alias("_fp"), F.col("md5").alias("_md5"), "rep")
-    copies = own.join(names, (F.col("fp") == F.col("_fp")) & (F.col("md5") == F.col("_md5"))).filter("_id > rep").select(F.col("_id").alias("doc"), F.array(F.lit(0), F.lit(2147483647)).alias("gone"))
+    copies = own.join(reps, ["fp", "fp2", "md5"]).filter("_id > rep").select(F.col("_id").alias("doc"), F.array(F.lit(0), F.lit(2147483647)).alias("gone"))
     return gone.unionAll(copies.distinct()).groupBy("doc").agg(F.max("gone").alias("gone"))
 
 
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def without(text: str, gone: list[int]) -> str:
+    """text without the given runs of words (first, last + 1, flat) and the space after each; all else stays as it was written."""
+    starts = [m.start() for m in _WORD.finditer(text)]
+    out, at = [], 0
+    for lo, hi in zip(gone[0::2], gone[1::2], strict=True):
+        out.append(text[at : starts[lo]])
+        at = starts[hi] if hi < len(starts) else len(text)
+    left = "".join(out) + text[at:]
+    return left if _WORD.search(left) else ""
+
+
 def dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, carry: bool = False) -> DataFrame:
     """One row for each row of docs: its id, n_words, n_removed, spans (first and last + 1 of each removed run of words, flat) and kept (the words left, joined by a space; null for a null text).
 
-    digests: kept_sha256 stands for spans and kept. carry: all columns of docs, with the text column replaced by kept.
+    digests: kept_sha256 stands for spans and kept. carry: all columns of docs instead, whatever their names, and of texts that lose words what is left, its white space as it was.
     """
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    gone = kept(removed_runs(base, window), "dedup-gone")
-    tail = "n_words bigint, n_removed bigint, " + ("kept_sha256 string" if digests else "spans array<int>, kept string")
-    columns = [F.col(f"`{c}`") for c in docs.columns] if carry else []
-    text = text_col if carry else "_text"
-    rows = docs.select(*(columns or [F.col(text_col).alias("_text")]), F.col(id_col).cast("long").alias("_id"))
+    with scratch(docs.sparkSession) as last:
+        gone = last(kept(removed_runs(base, window), "dedup-gone"))
     loses = maybe_in(gone, "doc")
-    whole = loses(rows, F.col("_id"), anti=True).withColumn("gone", F.lit(None).cast("array<int>"))
-    rows = loses(rows, F.col("_id")).join(gone, F.col("_id") == F.col("doc"), "left").drop("doc").unionAll(whole)
-    names = [*(docs.columns if carry else []), "_id"]
-    types = {f.name: f.dataType.simpleString() for f in docs.schema}
+    plain, (own, text) = numbered(docs, id_col, text_col)
+    rows = plain.withColumn("_id", F.col(own).cast("long")) if carry else base
+    whole = loses(rows, F.col("_id"), anti=True)
+    some = loses(rows, F.col("_id")).join(gone, F.col("_id") == F.col("doc"), "left").drop("doc")
+    if carry:
+
+        def cut(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                at = batch.schema.names.index(text)
+                texts = [t if t is None or not g or len(_WORD.findall(t)) < window else without(t, [min(x, len(t)) for x in g]) for t, g in zip(batch.column(at).to_pylist(), batch.column("gone").to_pylist(), strict=True)]
+                columns = batch.columns[: len(plain_names)]
+                columns[at] = pa.array(texts, batch.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays(columns, plain_names)
+
+        plain_names = plain.columns
+        schema = T.StructType([T.StructField(f.name, f.dataType) for f in plain.schema])
+        return some.select(*plain_names, "gone").mapInArrow(frugal(cut), schema).unionAll(whole.select(*plain_names)).toDF(*docs.columns)
+    tail = "n_words bigint, n_removed bigint, " + ("kept_sha256 string" if digests else "spans array<int>, kept string")
 
     def run(batches):
-        import pandas as pd
-
         for batch in batches:
             n_words, n_removed, spans, texts = [], [], [], []
-            for whole, gone in zip(batch[text], batch["gone"], strict=True):
+            for whole, gone in zip(batch["_text"], batch["gone"], strict=True):
                 words = whole.encode("utf-8", "surrogatepass").split() if isinstance(whole, str) else []
                 left, at, out = [], 0, []
                 if gone is not None and len(words) >= window:
@@ -315,22 +337,17 @@ def dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: s
                 n_removed.append(len(words) - len(left))
                 spans.append(np.array(out, np.int32))
                 texts.append(b" ".join(left))
-            out = batch[names].reset_index(drop=True)
-            if not carry:
-                out["n_words"], out["n_removed"] = n_words, n_removed
+            out = batch[["_id"]].reset_index(drop=True)
+            out["n_words"], out["n_removed"] = n_words, n_removed
             if digests:
                 out["kept_sha256"] = [hashlib.sha256(t).hexdigest() for t in texts]
             else:
-                if not carry:
-                    out["spans"] = spans
-                out["_kept" if carry else "kept"] = [t.decode("utf-8", "surrogatepass") if isinstance(x, str) else None for t, x in zip(texts, batch[text], strict=True)]
+                out["spans"] = spans
+                out["kept"] = [t.decode("utf-8", "surrogatepass") if isinstance(x, str) else None for t, x in zip(texts, batch["_text"], strict=True)]
             yield out
 
-    if not carry:
-        return rows.select("_id", "_text", "gone").mapInPandas(frugal(run), f"_id bigint, {tail}").withColumnRenamed("_id", id_col)
-    head = "".join(f"`{c}` {types[c]}, " for c in docs.columns)
-    out = rows.select(*columns, "_id", "gone").mapInPandas(frugal(run), f"{head}_id bigint, _kept string")
-    return out.select(*[F.col("_kept").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    every = some.select("_id", "_text", "gone").unionAll(whole.select("_id", "_text", F.lit(None).cast("array<int>")))
+    return every.mapInPandas(frugal(run), f"_id bigint, {tail}").withColumnRenamed("_id", id_col)
 
 
 def matched(docs: DataFrame, reference: DataFrame, window: int = 20, text_col: str = "text", most_words: int = 200_000) -> DataFrame:
