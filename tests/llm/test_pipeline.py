@@ -27,8 +27,11 @@ def test_stages(spark):
 
     clean = kept(stage["substring dedup"](spark, alone, SF), "test")
     rows = [(r.doc_id, r.text) for r in alone.collect()]
-    got = {r.doc_id: (hashlib.sha256(r.text.encode()).hexdigest(), r.n_chars == len(r.text)) for r in clean.collect()}
+    lost = {i: gone for i, _, gone, _ in brute_windows(rows, 20)}
+    got = {r.doc_id: (hashlib.sha256(b" ".join(r.text.encode().split())).hexdigest(), r.n_chars == len(r.text)) for r in clean.collect()}
     assert clean.columns == docs.columns and got == {i: (h, True) for i, _, _, h in brute_windows(rows, 20)}
+    whole = dict(rows)
+    assert all(r.text == whole[r.doc_id] for r in clean.collect() if not lost[r.doc_id])  # line breaks too
 
     from test_source_mix import WORDS, brute_targets
 
@@ -56,6 +59,34 @@ def test_stages(spark):
         assert r.n_tokens == len(own.encode_ordinary(texts[r.doc_id])) and r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
+NAMES = "_id _later gone doc _bits _word _kept _len _h _m _size _total _score _copies _copy c0 kept rep fp a b n words runs _rank _t".split()
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    """Nulls, repeats, an empty text, and columns named like those that operators use."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    docs = docs.select(*docs.columns, *[(F.col("doc_id") * 2**50 + i).alias(n) for i, n in enumerate(NAMES)])
+    odd = [(None, None), (None, "no id here"), (9001, None), (9002, ""), (9003, "word " * 300), (9003, "word " * 300)]
+    extra = spark.createDataFrame(odd, "doc_id long, text string").select("doc_id", "text", *[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema if f.name not in ("doc_id", "text")])
+    docs = kept(docs.unionAll(extra), "test")
+    given = {r.doc_id: r for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        rows = out.collect()
+        assert rows and stage(spark, docs.limit(0), SF).count() == 0, name
+        if name == "byte-level BPE encoding and decoding":
+            assert len(rows) == 66
+            continue
+        assert out.schema.simpleString() == docs.schema.simpleString(), name
+        for r in rows:
+            assert all(r[n] == given[r.doc_id][n] for n in NAMES), (name, r.doc_id)
+        if name == "n-gram Jaccard join":
+            ids = [r.doc_id for r in rows]
+            assert ids.count(9003) == 1 and ids.count(None) == 2 and {9001, 9002} <= set(ids)
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert set(out.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} and out.count() > 0
