@@ -241,7 +241,7 @@ def test_mutations(spark):
     with pytest.raises(ValueError):
         mutate.by_condition(queue, [mutate.add_attempts(1), mutate.set_attempts(2)], cond, NOW)
     asked = spark.createDataFrame([(1, 5, 0), (2, 5000, 0), (3, 5, 1)], "ord long, id long, shard int")
-    _, results = mutate.by_ids(queue, [mutate.set_attempts(9)], asked, NOW, 3)
+    _, results = mutate.by_ids(queue, [mutate.set_attempts(9)], asked, NOW)
     assert [(r.found, r.remaining_attempts) for r in results.orderBy("ord").collect()] == [(True, 9), (False, None), (False, None)]
 
 

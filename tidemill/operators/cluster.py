@@ -43,6 +43,11 @@ def known_shards(shards: DataFrame) -> DataFrame:
     return shards.filter(F.col("shard").between(0, SHARDS - 1)).orderBy("shard")
 
 
+def bounded(shards: DataFrame) -> DataFrame:
+    """The map as a broadcast: shards that exist, each once, so SHARDS rows at most whatever the table holds."""
+    return F.broadcast(shards.filter(F.col("shard").between(0, SHARDS - 1)).dropDuplicates(["shard"]))
+
+
 def broken_shards(shards: DataFrame) -> DataFrame:
     """Rows that are neither stable nor migrating."""
     stable = F.col("producer").eqNullSafe(F.col("consumer")) & F.col("next").isNull()
@@ -54,7 +59,8 @@ def route_produce(messages: DataFrame, shards: DataFrame, nodes: DataFrame) -> D
     """messages with `node`: their shard's producer; where that isn't a known node, the least active one by name (else the least known)."""
     active = shards.select(F.col("producer").alias("node")).distinct().join(nodes, "node", "left_semi").agg(F.min("node").alias("_active"))
     any_ = nodes.agg(F.min("node").alias("_any"))
-    m = F.broadcast(shards.select(F.col("shard").alias("_s"), F.col("producer").alias("_p")).join(nodes.select(F.col("node").alias("_p")), "_p", "left_semi"))
+    known = shards.select("shard", F.col("producer").alias("_p")).join(nodes.select(F.col("node").alias("_p")), "_p", "left_semi")
+    m = bounded(known).select(F.col("shard").alias("_s"), "_p")
     fallback = F.broadcast(active.join(any_, F.lit(True)))
     out = messages.join(m, F.col("shard") == F.col("_s"), "left").join(fallback, F.lit(True))
     return out.select(*messages.columns, F.coalesce("_p", "_active", "_any").alias("node"))
@@ -123,7 +129,7 @@ def bootstrap(spark: SparkSession, nodes: dict[str | None, int], shards: DataFra
 
 def route_ids(ids: DataFrame, shards: DataFrame) -> DataFrame:
     """ids with the `node` that owns their shard; null while none consumes it: they go to every node."""
-    m = F.broadcast(shards.select(F.col("shard").alias("_s"), F.col("consumer").alias("node")))
+    m = bounded(shards).select(F.col("shard").alias("_s"), F.col("consumer").alias("node"))
     return ids.join(m, F.col("shard") == F.col("_s"), "left").drop("_s")
 
 
@@ -140,7 +146,7 @@ def finalize_migration(shards: DataFrame) -> DataFrame:
 def changed_shards(before: DataFrame, after: DataFrame) -> DataFrame:
     b, a = before.select("shard", *[F.col(c).alias(f"{c}_before") for c in ("producer", "consumer", "next")]), after.select("shard", *[F.col(c).alias(f"{c}_after") for c in ("producer", "consumer", "next")])
     same = [F.col(f"{c}_before").eqNullSafe(F.col(f"{c}_after")) for c in ("producer", "consumer", "next")]
-    return b.join(F.broadcast(a), "shard").filter(~(same[0] & same[1] & same[2]))
+    return b.join(bounded(a), "shard").filter(~(same[0] & same[1] & same[2]))
 
 
 def move_rows(source: DataFrame, target: DataFrame, shards: list[int], unique: list[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -1,7 +1,7 @@
 """Receiving, acknowledging, sweeping and retention: each takes a queue's rows and gives the new rows and what it took.
 
-Nothing is executed here, and the clock is an argument. Rows are found again by (id, shard). Ids that one operation names
-are broadcast up to BROADCAST of them; beyond that Spark chooses the join.
+Nothing is executed here, and the clock is an argument. Rows are found again by (id, shard). What a limit of up to BROADCAST rows
+left is broadcast; how named ids are joined is Spark's choice, by their real size.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ BROADCAST = 100_000
 MESSAGE = ("id", "shard", "created_at", "processing_at", "scheduled_at", "remaining_attempts", "data")
 
 
-def bounded(ids: DataFrame, n: int | None) -> DataFrame:
-    return F.broadcast(ids) if n is not None and n <= BROADCAST else ids
+def bounded(ids: DataFrame, limit: int) -> DataFrame:
+    """ids, of which the plan itself leaves `limit` at most."""
+    return F.broadcast(ids) if limit <= BROADCAST else ids
 
 
 def visible_messages(queue: DataFrame, now: datetime, condition: Column | None = None, shards: list[int] | None = None) -> DataFrame:
@@ -71,9 +72,9 @@ def _same() -> Column:
     return (F.col("id") == F.col("_id")) & (F.col("shard") == F.col("_shard"))
 
 
-def acknowledge(queue: DataFrame, ids: DataFrame, n: int | None = None) -> tuple[DataFrame, DataFrame]:
+def acknowledge(queue: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(the queue without the named messages, claimed or not; the rows that went)."""
-    gone = bounded(named(ids), n)
+    gone = named(ids)
     return queue.join(gone, _same(), "left_anti"), queue.join(gone, _same(), "left_semi")
 
 
@@ -126,8 +127,7 @@ def sweep(queue: DataFrame, now: datetime, limit: int, max_messages: int) -> tup
     """(the queue without the dead messages, these): max(limit, max_messages) of them at most, oldest first."""
     most = max(limit, max_messages)
     gone = queue.filter(states.dead(now)).orderBy("scheduled_at", "id").limit(most)
-    left, swept = acknowledge(queue, gone, most)
-    return left, swept
+    return acknowledge(queue, gone)
 
 
 def expired(companion: DataFrame, now: datetime, retention: timedelta, max_messages: int) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.values import at, micros, plus, whole_millis
-from tidemill.operators.consume import bounded
 from tidemill.plans.spec import check
 
 
@@ -67,10 +66,10 @@ def reduced(changed: DataFrame) -> DataFrame:
     return changed.select("id", "shard")
 
 
-def by_ids(queue: DataFrame, mutations: list[Mutation], ids: DataFrame, now: datetime, n: int | None = None) -> tuple[DataFrame, DataFrame]:
+def by_ids(queue: DataFrame, mutations: list[Mutation], ids: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:
     """(the queue after it, a row for each of ids (ord, id, shard) with its new schedule and attempts, or found = false)."""
     changed_by = changes(mutations, now)
-    asked = bounded(ids.select(F.col("id").alias("_id"), F.col("shard").alias("_shard")).distinct(), n)
+    asked = ids.select(F.col("id").alias("_id"), F.col("shard").alias("_shard")).distinct()
     same = (F.col("id") == F.col("_id")) & (F.col("shard") == F.col("_shard"))
     marked = queue.join(asked, same, "left")
     after = marked.withColumns({c: F.when(F.col("_id").isNotNull(), v).otherwise(F.col(c)) for c, v in changed_by.items()}).select(*queue.columns)
