@@ -307,35 +307,49 @@ def train(rows: DataFrame, text_col: str, lang_col: str, order: int = ORDER) ->
     if not langs:
         return model
     most = max(10_000, MODEL_CELLS // len(langs))
-    tables = {order: top}
+    if top.count() > most:  # no other table has more rows than this one
+        return _wide(top, langs, order, most)
+    tables = {order: top.toArrow().to_pandas()}
     for k in range(order - 1, 0, -1):  # how many characters are seen before each run
-        tables[k] = tables[k + 1].groupBy("lang", F.expr("substr(g, 2)").alias("g")).agg(F.count("*").alias("c"))
-    wide = Wide(langs, order) if top.count() > most else None  # no other table has more rows than this one
+        tables[k] = tables[k + 1].assign(g=tables[k + 1]["g"].str[1:]).groupby(["lang", "g"], sort=False).size().rename("c").reset_index()
+    column = {x: i for i, x in enumerate(langs)}
     for k in range(1, order + 1):
         t = tables[k]
-        context = t.groupBy("lang", F.expr(f"substr(g, 1, {k - 1})").alias("g")).agg(F.sum("c").alias("c"), F.count("*").alias("types"))
-        ones = {r["lang"]: (r["n1"], r["n2"]) for r in t.groupBy("lang").agg(F.count_if(F.expr("c = 1")).alias("n1"), F.count_if(F.expr("c = 2")).alias("n2")).collect()}
-        discount = np.array([n1 / (n1 + 2 * n2) if n1 and n2 else 0.5 for n1, n2 in (ones.get(x, (0, 0)) for x in langs)])
-        if wide:
-            _widen(wide, k, t, context, discount)
-            continue
-        t, context = t.toArrow().to_pandas(), context.toArrow().to_pandas()
+        context = t.assign(g=t["g"].str[: k - 1]).groupby(["lang", "g"], sort=False)["c"].agg(["sum", "size"]).reset_index()
+        ones = {x: ((c == 1).sum(), (c == 2).sum()) for x, c in t.groupby("lang")["c"]}
+        discount = _discounts(ones, langs)
         if k == 1:
-            model.floor = np.log(np.full(len(langs), 1.0 / (len(set(t["g"])) + 1))).astype(np.float32)
-        col = context["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(dtype=int)
-        totals = dict(zip(zip(context["lang"], context["g"], strict=True), context["c"], strict=True))
-        weight, grams = _matrix(context, langs, discount[col] * context["types"].to_numpy() / context["c"].to_numpy(), 1.0)
+            model.floor = np.log(np.full(len(langs), 1.0 / (t["g"].nunique() + 1))).astype(np.float32)
+        col = context["lang"].map(column).to_numpy(dtype=int)
+        weight, grams = _matrix(context, langs, discount[col] * context["size"].to_numpy() / context["sum"].to_numpy(), 1.0)
         model.weights.append(_sorted(grams, np.log(weight), k - 1) if k > 1 else (np.zeros(0, np.uint64), np.log(weight)[:1].astype(np.float32)))
         model.runs.append((np.zeros(0, np.uint64), np.zeros((0, len(langs)), np.float32)))
-        col = t["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(dtype=int)
-        total = np.array([totals.get((x, g[:-1]), np.inf) for x, g in zip(t["lang"], t["g"], strict=True)])
+        col = t["lang"].map(column).to_numpy(dtype=int)
+        total = t.assign(context=t["g"].str[: k - 1]).groupby(["lang", "context"])["c"].transform("sum").to_numpy()
         own, grams = _matrix(t, langs, np.maximum(t["c"].to_numpy() - discount[col], 0) / total, 0.0)
         if grams:
             columns = np.array([[ord(c) for c in g] for g in grams], np.uint32).reshape(len(grams), k).T
             model.runs[-1] = _sorted(grams, np.log(own + np.exp(model.logs(list(columns)).astype(np.float64))), k)
-    if wide:
-        wide.keep_often(top, most)
-    return wide or model
+    return model
+
+
+def _discounts(ones: dict, langs: list[str]) -> np.ndarray:
+    """Of each language, from how many runs occur once and twice."""
+    return np.array([n1 / (n1 + 2 * n2) if n1 and n2 else 0.5 for n1, n2 in (ones.get(x, (0, 0)) for x in langs)])
+
+
+def _wide(top: DataFrame, langs: list[str], order: int, most: int) -> Wide:
+    """The models from the counts (lang, g, c) of the longest runs, by tables."""
+    wide, tables = Wide(langs, order), {order: top}
+    for k in range(order - 1, 0, -1):
+        tables[k] = tables[k + 1].groupBy("lang", F.expr("substr(g, 2)").alias("g")).agg(F.count("*").alias("c"))
+    for k in range(1, order + 1):
+        t = tables[k]
+        context = t.groupBy("lang", F.expr(f"substr(g, 1, {k - 1})").alias("g")).agg(F.sum("c").alias("c"), F.count("*").alias("types"))
+        ones = {r["lang"]: (r["n1"], r["n2"]) for r in t.groupBy("lang").agg(F.count_if(F.expr("c = 1")).alias("n1"), F.count_if(F.expr("c = 2")).alias("n2")).collect()}
+        _widen(wide, k, t, context, _discounts(ones, langs))
+    wide.keep_often(top, most)
+    return wide
 
 
 def _widen(wide: Wide, k: int, t: DataFrame, context: DataFrame, discount: np.ndarray) -> None:
