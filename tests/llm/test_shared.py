@@ -60,3 +60,30 @@ def test_filter_loses_none(spark):
 def test_some_rows(spark):
     df = spark.range(20000)
     assert shared.some_rows(df, ["id"], 30000).count() == 20000 and 800 < shared.some_rows(df, ["id"], 1000).count() < 1200
+
+
+def test_few_tables_stay_in_the_shared_folder(spark, tmp_path, monkeypatch):
+    """Only those that a query's result reads are left when it is returned, and none after clean()."""
+    import os
+
+    import corpus_pipeline
+    from tidemill.functions import steps
+    from tidemill.llm import queries
+
+    steps.clean(spark)
+    monkeypatch.setattr(steps, "shared_dir", lambda spark: f"file://{tmp_path}")
+    most = {"op2_language_id": 0, "op3_mtree": 3, "op4_quality": 0, "op5_source_mix": 3, "op7_substring_dedup": 2, "op8_multi_index": 2, "op9_ngram_join": 2, "pipeline": 1}
+    for name, n in most.items():
+        run = corpus_pipeline.run if name == "pipeline" else queries.QUERIES[name]
+        out = run(spark, "/root/testdata/sf0.001")
+        left = os.listdir(tmp_path)
+        assert len(left) <= n, (name, left)
+        assert out.count() > 0
+        steps.clean(spark)
+        assert os.listdir(tmp_path) == [], name
+
+
+def test_columns_by_place(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "Text int, _score int, _SCORE_ int")
+    plain, (text,) = shared.numbered(df, "text")
+    assert plain.columns == ["c0", "c1", "c2"] and text == "c0" and shared.unused("_score", df) == "_score__" and shared.unused("x", df) == "x"
