@@ -19,6 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.functions.steps import scratch
 from tidemill.llm.shared import NUMBER_ROWS, as_bytes, components, frugal, kept, maybe_in, mix, partitions, run_hashes, slices, small_batches, union_find, word_hashes
 
 #: Frequent shingles whose counts are broadcast for the order; a hint only, results don't depend on it. 9 bytes each.
@@ -243,7 +244,7 @@ def surveyed(docs: DataFrame, k: int, exact: bool = False) -> DataFrame:
             a, b = prints(sets)
             if not exact:
                 yield pd.DataFrame({"_id": batch["_id"].astype("Int64").reset_index(drop=True), "n": [len(s) for s in sets], "fp": a, "fp2": b, "h": None, "c": None})
-            for s, fp in zip(sets, a.tolist(), strict=True):
+            for s, fp in zip(sets, zip(a.tolist(), b.tolist(), strict=True), strict=True):
                 if fp not in seen:  # of equal sets one counts
                     seen.add(fp)
                     held.append(s)
@@ -278,11 +279,12 @@ def candidate_clusters(docs: DataFrame, counted: DataFrame, k: int, t: int) -> D
         h, levels = known.value
         rough = np.zeros(1 << 22, bool)  # most shingles aren't frequent: a look at their top bits tells
         rough[h >> np.uint64(42)] = True
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             tokens, owner, sizes, heat = [], [], [], []
             sets = list(all_shingles(batch["_text"], k))
-            for i, s, fp in zip(batch["_id"].tolist(), sets, prints(sets)[0].tolist(), strict=True):
+            for i, s, *fp in zip(batch["_id"].tolist(), sets, *(x.tolist() for x in prints(sets)), strict=True):
+                fp = tuple(fp)
                 if not len(s) or fp in seen:
                     continue
                 seen.add(fp)
@@ -345,11 +347,18 @@ def candidate_clusters(docs: DataFrame, counted: DataFrame, k: int, t: int) -> D
 def link(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: its id, n_shingles and component_id (the smallest id reachable by links, itself included). threshold: per cent of the union."""
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    with scratch(docs.sparkSession) as last:
+        own, comps = _linked(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")), k, threshold, last)
+    out = own.join(comps, F.col("rep") == F.col("node"), "left")
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "rep", "_id").alias("component_id"))
+
 
+def _linked(docs: DataFrame, k: int, threshold: int, last) -> tuple[DataFrame, DataFrame]:
+    """(_id, n, rep (of its class) for each row; node, comp for each class that has links)."""
     survey = kept(surveyed(docs, k), "ngram-survey")
     own = survey.filter("n is not null").select("_id", "n", "fp", "fp2")
-    classes = own.filter("n > 0").groupBy("n", "fp", "fp2").agg(F.min("_id").alias("rep"))
+    # a table of its own, so that the join below reads both sides from shuffles, and Spark splits that of a frequent class
+    classes = kept(own.filter("n > 0").groupBy("n", "fp", "fp2").agg(F.min("_id").alias("rep")), "ngram-classes")
     classes = classes.select(F.col("n").alias("_n"), F.col("fp").alias("_fp"), F.col("fp2").alias("_fp2"), "rep")
     same = (F.col("n") == F.col("_n")) & (F.col("fp") == F.col("_fp")) & (F.col("fp2") == F.col("_fp2"))
     own = kept(own.join(classes, same, "left").select("_id", "n", F.when(F.col("_id").isNotNull(), F.col("rep")).alias("rep")), "ngram-own")
@@ -363,18 +372,16 @@ def link(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id
         strays = kept(strays, "ngram-strays")
         if strays.isEmpty():
             break
-        last = again == ROUNDS
-        links = links.unionAll(_held_against_all(local, strays.filter(F.lit(last) | (F.col("blocks") * F.col("of") <= ANEW)), docs, k, threshold))
+        final = again == ROUNDS
+        links = links.unionAll(_held_against_all(local, strays.filter(F.lit(final) | (F.col("blocks") * F.col("of") <= ANEW)), docs, k, threshold))
         many = strays.filter(F.col("blocks") * F.col("of") > ANEW)
-        if last or many.isEmpty():
+        if final or many.isEmpty():
             break
         # clusters that hold many unlike sets: their own exact counts order their shingles better
         unlike = kept(local.join(many.select("comp"), "comp").select("rep").distinct(), "ngram-unlike-ids")
         part = kept(maybe_in(unlike, "rep")(docs, F.col("_id")).join(unlike, F.col("_id") == F.col("rep")).select("_id", "_text"), "ngram-unlike")
         clusters = candidate_clusters(part, surveyed(part, k, exact=True).select("h", "c"), k, threshold)
-    comps = components(links)
-    out = own.join(comps, F.col("rep") == F.col("node"), "left")
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "rep", "_id").alias("component_id"))
+    return last(own), last(components(links))
 
 
 def _joined_in_clusters(clusters: DataFrame, own: DataFrame, docs: DataFrame, k: int, t: int) -> DataFrame:
